@@ -117,15 +117,6 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
-def range_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of words[first:last] for arrays of bounds; equal contents of equal length have equal hashes."""
-    sums = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * _powers(_WORD_BASE, len(words)), out=sums[1:])
-    h = sums[last] - sums[first]
-    h *= _powers(_inverse(_WORD_BASE), len(words) + 1)[first]
-    return mix(h + (last - first).astype(_U))
-
-
 _CLASS = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and digits, 2 the rest
 _CLASS[list(b" \t\n\x0b\x0c\r")] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1

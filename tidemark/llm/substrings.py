@@ -2,9 +2,10 @@
 
 Level one looks at windows of half the length. From those inside each full window the one with the least hash is
 taken (a minimiser: equal windows take equal ones), so about one position in ten is posted; a full window can only
-repeat if its half window does. Only where the half window repeats is it extended to the full length. Consecutive
-full windows around one half window form a run; runs of equal content are counted once with their number, so that a
-passage that very many documents share is exploded into windows once and no task gets all its copies.
+repeat if its half window does. Only where the half window repeats is it extended to the full length, and the full
+windows are posted in turn. Counts are combined before the shuffle, and the joins back can be split where a window is
+common. The texts are shuffled once, by row, for the second level and the result alike; what is cheap to compute is
+computed again rather than written.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chunks_of, hash_words, materialise, range_hashes, row_key, window_hashes
+from tidemark.llm._common import chunks_of, hash_words, window_hashes
 
 LENGTH = 35
 
@@ -55,9 +56,18 @@ def _each(b: pa.RecordBatch, text: int):
         yield words, counts, first
 
 
-def half_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Level one: rk_id, rk_text, pos, h of the half windows that stand for the full windows of every text."""
-    rows = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of id and text: equal rows have equal results) and the text's bytes."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.cast("binary").alias("text"))
+
+
+def _posted(b: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["row", "pos", "h"])
+
+
+def half_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Level one: row, pos, h of the half windows that stand for the full windows of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,16 +75,14 @@ def half_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 _, at, grams, starts = _windows(words, counts, length)
                 at = at[np.flatnonzero(np.diff(at, prepend=-1))]
                 row = np.searchsorted(starts, at, side="right") - 1
-                own = [b.column(k).take(pa.array(row + first)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array((at - starts[row]).astype(np.int32)), pa.array(grams[at].view(np.int64))], names=["rk_id", "rk_text", "pos", "h"])
+                yield _posted(b, row + first, at - starts[row], grams[at])
 
-    return rows.mapInArrow(run, "rk_id long, rk_text long, pos int, h long")
+    return rows.mapInArrow(run, "row long, pos int, h long")
 
 
-def full_windows(docs: DataFrame, survivors: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Level two: runs of full windows around surviving half windows: rk_id, rk_text, first, run (hash), windows (hashes)."""
-    text = docs.select(*row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = text.withColumnRenamed("rk_id", "id").join(survivors.withColumnRenamed("rk_text", "rt"), F.expr("id <=> rk_id AND rk_text = rt")).select("id", "rk_text", "text", "at")
+def full_windows(rows: DataFrame, survivors: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Level two: row, pos, h of the full windows around the half windows at survivors(row, at)."""
+    both = rows.join(survivors.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,33 +92,23 @@ def full_windows(docs: DataFrame, survivors: DataFrame, length: int = LENGTH) ->
                 alive = np.zeros(len(words) + 1, bool)
                 for k, s in enumerate(docs_at):
                     alive[s + np.asarray(kept[first + k], np.int64)] = True
-                live = alive[at]
-                starts, at = starts[live], at[live]
-                if not len(starts):
-                    continue
-                hashes = window_hashes(words, length)[starts]
-                cut = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-                end = np.append(cut[1:], len(starts))
-                runs = range_hashes(words, starts[cut], starts[end - 1] + length)
-                row = np.searchsorted(docs_at, starts[cut], side="right") - 1
-                own = [b.column(k).take(pa.array(row + first)) for k in (0, 1)]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(starts)).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*own, pa.array((starts[cut] - docs_at[row]).astype(np.int32)), pa.array(runs.view(np.int64)), lists], names=["rk_id", "rk_text", "first", "run", "windows"])
-
-    return rows.mapInArrow(run, "rk_id long, rk_text long, first int, run long, windows array<long>")
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rk_id, rk_text and starts: for each row with any, array<struct<first, marks>>, a repeated window at first + each mark."""
-    halves = materialise(half_windows(docs, length), "half")
-    repeated = halves.groupBy("h").count().where("count > 1").select("h")
-    survivors = halves.join(repeated, "h", "left_semi").groupBy("rk_id", "rk_text").agg(F.collect_list("pos").alias("at"))
-    runs = materialise(full_windows(docs, survivors, length), "runs")
-    distinct = runs.groupBy("run").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    each = distinct.select("run", "n", F.posexplode("windows").alias("i", "h"))
-    twice = each.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    marks = each.select("run", "i", "h").join(twice, "h").groupBy("run").agg(F.collect_list("i").alias("marks"))
-    return runs.select("rk_id", "rk_text", "first", "run").join(marks, "run").groupBy("rk_id", "rk_text").agg(F.collect_list(F.struct("first", "marks")).alias("starts"))
+                starts = starts[alive[at]]
+                if len(starts):
+                    row = np.searchsorted(docs_at, starts, side="right") - 1
+                    yield _posted(b, row + first, starts - docs_at[row], window_hashes(words, length)[starts])
+
+    return both.mapInArrow(run, "row long, pos int, h long")
+
+
+def _repeated(posted: DataFrame) -> DataFrame:
+    """row and at (array of positions) of what is posted more than once."""
+    twice = posted.groupBy("h").count().where("count > 1").select("h")
+    return posted.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("at"))
+
+
+def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """row and at: the starts of its repeated full windows, for each row that has any."""
+    return _repeated(full_windows(rows, _repeated(half_windows(rows, length)), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -119,19 +117,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Words stand between ASCII white space, unchanged. A word goes if any window of `length` consecutive words over it
     has its word sequence starting anywhere else too, in the same text or another; windows are judged on the input.
     A repeated row makes its windows repeat. Null text: no words. Windows are told apart by 64-bit hashes."""
-    found = repeated_windows(docs, length).select(F.col("rk_id").alias("fid"), F.col("rk_text").alias("ft"), "starts")
-    text = docs.select("doc_id", *row_key(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = text.join(found, F.expr("rk_id <=> fid AND rk_text = ft"), "left").select("doc_id", "text", "starts")
+    rows = _rows(docs)
+    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
                 if starts:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.concatenate([np.asarray(s["marks"], np.int64) + s["first"] for s in starts]))
+                    at = np.unique(starts)
                     edge[at] += 1
                     edge[at + length] -= 1
                     stay = np.cumsum(edge[:-1]) == 0
@@ -140,4 +137,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
