@@ -2,10 +2,187 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import bonds as B
+from tidemark.operators import panel as N
+from tidemark.operators import risk as R
+from tidemark.sources import roles as S
+
+SCENARIOS = [("mid_1996", "1996-05-01", "1996-09-30", "A"), ("autumn_1998", "1998-08-01", "1998-10-31", "A"), ("spring_2000", "2000-03-01", "2000-06-30", "B"), ("before_data", "1980-01-01", "1980-12-31", "B")]
+
+
+def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
+
+
+def _returns(spark: SparkSession, d: str) -> DataFrame:
+    return N.log_returns(S.prices(spark, d))
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return N.weights(S.holdings(spark, d), S.prices(spark, d))
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    return N.portfolio_returns(_returns(spark, d), _weights(spark, d))
+
+
+def _stress(spark: SparkSession, d: str) -> DataFrame:
+    """Each scenario's value-weighted cumulative return; a scenario without data stays, with nulls."""
+    prices, w, out = S.prices(spark, d), _weights(spark, d), None
+    for name, start, end, region in SCENARIOS:  # a fixed list of scenarios
+        moved = N.adjacent_returns(prices, start, end).groupBy("asset").agg(F.sum("r").alias("cum"), F.count("*").alias("n"))
+        part = w.join(moved, "asset", "left").groupBy("portfolio_id").agg(F.max("n").alias("n_days"), F.sum(F.when(F.col("cum").isNotNull(), F.col("value") * (F.exp("cum") - 1))).alias("impact"), F.sum(F.when(F.col("cum").isNull(), F.col("value")).otherwise(0.0)).alias("missing"))
+        part = part.select(F.lit(name).alias("scenario"), F.lit(region).alias("region"), "portfolio_id", F.coalesce("n_days", F.lit(0)).alias("n_days"), "impact", "missing")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _valuation(spark: SparkSession, d: str) -> DataFrame:
+    w = _weights(spark, d)
+    cost = S.prices(spark, d).groupBy("asset").agg(F.min_by("px", "d").alias("cost"))
+    held = S.holdings(spark, d).join(w.drop("w"), ["portfolio_id", "asset"]).join(cost, "asset")
+    paid = F.col("quantity") * F.col("cost")
+    return held.select("portfolio_id", "asset", "quantity", "value", paid.alias("cost_total"), (F.col("value") - paid).alias("pnl"), F.try_divide(F.col("value") - paid, paid).alias("pnl_share"))
+
+
+def _adv(spark: SparkSession, d: str) -> DataFrame:
+    daily = S.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("asset"), F.col("l_shipdate").cast("date").alias("d")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
+    return daily.where("v > 0").groupBy("asset").agg(F.count("*").alias("days"), F.avg("v").alias("adv")).where("days >= 10")
+
+
+def _dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """The last value of each day by source order, as fund prices are deduplicated."""
+    e = S.table(spark, d, "orders").select(F.col("o_orderpriority").alias("asset"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").cast("double").alias("px"))
+    return e.groupBy("asset", "d").agg(F.max_by("px", "seq").alias("px"))
+
 
 def queries() -> dict:
-    return {}
+    series = lambda f, digits=8: lambda spark, d: _rounded(f(_series(spark, d)), digits)
+    returns = lambda f, digits=8: lambda spark, d: _rounded(f(_returns(spark, d)), digits)
+    return {
+        "q_log_returns": returns(lambda r: r),
+        "q_portfolio_returns": series(lambda s: s),
+        "q_weights": lambda spark, d: _rounded(_weights(spark, d), 6),
+        "q_hist_var": series(R.historical_var),
+        "q_es": series(R.expected_shortfall),
+        "q_diversification": lambda spark, d: _rounded(R.diversification(_returns(spark, d), _weights(spark, d), _series(spark, d)), 2),
+        "q_corr": returns(R.correlations),
+        "q_sharpe_multi": series(R.sharpe, 6),
+        "q_sharpe_ci": series(lambda s: R.sharpe_confidence(s, 0.0001), 6),
+        "q_drawdown": series(R.drawdown, 6),
+        "q_ewma_path": series(R.ewma_path),
+        "q_fhs": series(lambda s: R.filtered_historical(R.ewma_path(s))),
+        "q_evt": series(R.evt_tail, 6),
+        "q_tail_dep": returns(R.tail_dependence, 6),
+        "q_srri": series(R.srri, 6),
+        "q_concentration_hhi": lambda spark, d: _rounded(R.concentration(_weights(spark, d))),
+        "q_beta_1f": lambda spark, d: _rounded(R.beta((r := _returns(spark, d)), r.groupBy("d").agg(F.avg("r").alias("f"))), 6),
+        "q_stress": lambda spark, d: _rounded(_stress(spark, d), 2),
+        "q_valuation": lambda spark, d: _rounded(_valuation(spark, d), 4),
+        "q_bond_metrics": lambda spark, d: _rounded(B.metrics(S.bonds(spark, d)).select("bond_id", "fair", "macaulay", "modified", "value", "dv01"), 6),
+        "q_bond_summary": lambda spark, d: _rounded(B.summary(B.metrics(S.bonds(spark, d))), 4),
+        "q_daily_fill": lambda spark, d: _rounded(N.daily_fill(S.sparse_prices(spark, d), ["asset"]), 4),
+        "q_adv": lambda spark, d: _rounded(_adv(spark, d), 6),
+        "q_dedupe": lambda spark, d: _rounded(_dedupe(spark, d), 2),
+    }
+
+
+BASE = """
+WITH RECURSIVE daily AS (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS e, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2),
+prices AS (SELECT asset, d, CAST(sum(e) OVER w AS DOUBLE) / CAST(sum(v) OVER w AS DOUBLE) AS px FROM daily WINDOW w AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+good AS (SELECT * FROM prices WHERE px > 0),
+full_days AS (SELECT d FROM good GROUP BY d HAVING count(*) = (SELECT count(DISTINCT asset) FROM good)),
+returns AS (SELECT * FROM (SELECT asset, d, ln(px / lag(px) OVER (PARTITION BY asset ORDER BY d)) AS r FROM good WHERE d IN (SELECT d FROM full_days)) WHERE r IS NOT NULL),
+last_px AS (SELECT asset, max_by(px, d) AS last, min_by(px, d) AS first FROM prices GROUP BY asset),
+holdings AS (SELECT c_mktsegment AS portfolio_id, l_returnflag AS asset, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+weights AS (SELECT portfolio_id, asset, quantity * last AS value, quantity * last / sum(quantity * last) OVER (PARTITION BY portfolio_id) AS w FROM holdings JOIN last_px USING (asset)),
+series AS (SELECT portfolio_id, d, r, row_number() OVER (PARTITION BY portfolio_id ORDER BY d) - 1 AS i FROM (SELECT portfolio_id, d, sum(w * r) AS r FROM returns JOIN weights USING (asset) GROUP BY 1, 2)),
+hv AS (SELECT portfolio_id, count(r) AS n, quantile_cont(r, 0.010000000000000009) AS var FROM series GROUP BY 1)
+"""
+
+EWMA = """,
+seed AS (SELECT portfolio_id, CASE WHEN var_pop(r) = 0 THEN 1e-8 ELSE var_pop(r) END AS v FROM series WHERE i < 30 GROUP BY 1),
+path AS (SELECT portfolio_id, i, r, v FROM series JOIN seed USING (portfolio_id) WHERE i = 0
+         UNION ALL SELECT s.portfolio_id, s.i, s.r, 0.94 * p.v + 0.06 * p.r * p.r FROM path p JOIN series s ON s.portfolio_id = p.portfolio_id AND s.i = p.i + 1),
+ewma AS (SELECT portfolio_id, i, r, sqrt(v) AS sigma FROM path)
+"""
+
+BONDS = """
+WITH b AS (SELECT p_partkey AS bond_id, p_size / 100.0::DOUBLE AS coupon, (1 + p_size % 10)::DOUBLE AS years, 0.05::DOUBLE + (p_partkey % 20) / 100.0::DOUBLE AS ytm, [1, 2, 4][(p_partkey % 3 + 1)::INTEGER] AS f, p_retailprice::DOUBLE * 100 AS nominal, 95.0::DOUBLE AS price FROM part),
+flows AS (SELECT *, unnest(range(1, greatest(1, CAST(years * f AS INTEGER)) + 1)) AS k FROM b),
+pv AS (SELECT *, (100.0::DOUBLE * coupon / f + CASE WHEN k = greatest(1, CAST(years * f AS INTEGER)) THEN 100 ELSE 0 END) * pow(1 + ytm / f, -k) AS x FROM flows),
+m AS (SELECT bond_id, sum(x) AS fair, sum(x * k / f) / sum(x) AS macaulay, sum(x * k / f) / sum(x) / (1 + max(ytm / f)) AS modified, max(nominal * price / 100) AS value FROM pv GROUP BY bond_id)
+"""
+
+
+def _stress_sql() -> str:
+    parts = []
+    for name, start, end, region in SCENARIOS:
+        parts.append(f"""
+SELECT '{name}' AS scenario, '{region}' AS region, portfolio_id, coalesce(max(n), 0)::BIGINT AS n_days, round(sum(CASE WHEN cum IS NOT NULL THEN value * (exp(cum) - 1) END), 2) AS impact,
+       round(sum(CASE WHEN cum IS NULL THEN value ELSE 0.0 END), 2) AS missing
+FROM weights LEFT JOIN (
+  SELECT asset, sum(r) AS cum, count(*) AS n FROM (
+    SELECT asset, d, r, count(*) OVER (PARTITION BY d) AS m FROM (
+      SELECT asset, d, k, ln(px / lag(px) OVER o) AS r, lag(k) OVER o AS k0 FROM (SELECT asset, d, px, dense_rank() OVER (ORDER BY d) AS k FROM prices WHERE d BETWEEN DATE '{start}' AND DATE '{end}') WINDOW o AS (PARTITION BY asset ORDER BY d)
+    ) WHERE k0 = k - 1
+  ) WHERE m = (SELECT count(DISTINCT asset) FROM good WHERE d BETWEEN DATE '{start}' AND DATE '{end}') GROUP BY asset
+) USING (asset) GROUP BY portfolio_id""")
+    return BASE + " UNION ALL ".join(parts)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    n = lambda w: f"count(CASE WHEN back <= {w} THEN 1 END) AS n_{w}"
+    s = lambda w, least: f"CASE WHEN count(CASE WHEN back <= {w} THEN 1 END) >= {least} THEN round(avg(CASE WHEN back <= {w} THEN r END) * 252 / (stddev_samp(CASE WHEN back <= {w} THEN r END) * sqrt(252)), 6) END AS sharpe_{w}"
+    back = "(SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY i DESC) AS back FROM series)"
+    cdf = "CASE WHEN z > 0 THEN 1 - t ELSE t END"
+    tail = "exp(-z * z / 2) * ((((((3.52624965998911e-02 * y + 0.700383064443688) * y + 6.37396220353165) * y + 33.912866078383) * y + 112.079291497871) * y + 221.213596169931) * y + 220.206867912376) / (((((((8.83883476483184e-02 * y + 1.75566716318264) * y + 16.064177579207) * y + 86.7807322029461) * y + 296.564248779674) * y + 637.333633378831) * y + 793.826512519948) * y + 440.413735824752)"
+    return {
+        "q_log_returns": BASE + "SELECT asset, d, round(r, 8) AS r FROM returns",
+        "q_portfolio_returns": BASE + "SELECT portfolio_id, d, round(r, 8) AS r, i FROM series",
+        "q_weights": BASE + "SELECT portfolio_id, asset, round(value, 6) AS value, round(w, 6) AS w FROM weights",
+        "q_hist_var": BASE + "SELECT portfolio_id, n, round(var, 8) AS var FROM hv",
+        "q_es": BASE + "SELECT portfolio_id, n, CASE WHEN n >= 60 THEN round(var, 8) END AS var, CASE WHEN n >= 60 THEN round(avg(CASE WHEN r <= var THEN r END), 8) END AS es FROM series JOIN hv USING (portfolio_id) GROUP BY portfolio_id, n, var",
+        "q_diversification": BASE + ", own AS (SELECT asset, quantile_cont(r, 0.010000000000000009) AS av FROM returns GROUP BY asset), a AS (SELECT portfolio_id, sum(value * av) AS sv, sum(value) AS t FROM weights JOIN own USING (asset) GROUP BY 1) SELECT portfolio_id, round(sv, 2) AS sum_var, round(var * t, 2) AS portfolio_var, round(abs(sv) - abs(var * t), 2) AS benefit FROM a JOIN hv USING (portfolio_id)",
+        "q_corr": BASE + "SELECT x.asset AS a, y.asset AS b, count(*) AS n, round(corr(x.r, y.r), 8) AS rho, round(covar_samp(x.r, y.r), 8) AS cov FROM returns x JOIN returns y ON x.d = y.d AND x.asset < y.asset GROUP BY 1, 2",
+        "q_sharpe_multi": BASE + f"SELECT portfolio_id, {n(252)}, {s(252, 60)}, {n(756)}, {s(756, 453)}, {n(1260)}, {s(1260, 756)} FROM {back} GROUP BY 1",
+        "q_sharpe_ci": BASE + f""", x AS (SELECT portfolio_id, r - 0.0001 AS r FROM {back} WHERE back <= 252),
+m AS (SELECT portfolio_id, count(*) AS n, avg(r) AS mu, stddev_pop(r) AS sd FROM x GROUP BY 1),
+g AS (SELECT portfolio_id, n, mu / sd AS sr, avg(pow((r - mu) / sd, 3)) AS g3, avg(pow((r - mu) / sd, 4)) AS g4 FROM x JOIN m USING (portfolio_id) GROUP BY portfolio_id, n, mu, sd),
+zs AS (SELECT *, sqrt((1 + 0.5 * sr * sr) / n) AS se, sr * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) AS z FROM g), ys AS (SELECT *, abs(z) AS y FROM zs), ts AS (SELECT *, {tail} AS t FROM ys)
+SELECT portfolio_id, n, round(sr * sqrt(252), 6) AS sharpe, round((sr - 1.96 * se) * sqrt(252), 6) AS low, round((sr + 1.96 * se) * sqrt(252), 6) AS high, round({cdf}, 6) AS psr FROM ts""",
+        "q_drawdown": BASE + """, c AS (SELECT portfolio_id, i, r, exp(sum(r) OVER p) AS c FROM series WINDOW p AS (PARTITION BY portfolio_id ORDER BY i)),
+dd AS (SELECT *, c / max(c) OVER (PARTITION BY portfolio_id ORDER BY i) - 1 AS dd FROM c),
+runs AS (SELECT portfolio_id, g, count(CASE WHEN dd < 0 THEN 1 END) AS run FROM (SELECT *, sum(CASE WHEN dd >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id ORDER BY i) AS g FROM dd) GROUP BY 1, 2),
+l AS (SELECT portfolio_id, max(run) AS longest, max_by(run, g) AS now FROM runs GROUP BY 1), s AS (SELECT portfolio_id, count(*) AS n, min(dd) AS mdd, sqrt(avg(dd * dd)) AS ulcer, exp(avg(r) * 252) - 1 AS annual FROM dd GROUP BY 1)
+SELECT portfolio_id, n, round(mdd, 6) AS max_drawdown, round(ulcer, 6) AS ulcer, round(annual / abs(mdd), 6) AS calmar, longest AS longest_run, now AS current_run FROM s JOIN l USING (portfolio_id)""",
+        "q_ewma_path": BASE + EWMA + "SELECT portfolio_id, i, round(r, 8) AS r, round(sigma, 8) AS sigma FROM ewma",
+        "q_fhs": BASE + EWMA + """, today AS (SELECT portfolio_id, count(*) AS n, sqrt(0.94 * pow(max_by(sigma, i), 2) + 0.06 * pow(max_by(r, i), 2)) AS t FROM ewma GROUP BY 1),
+z AS (SELECT portfolio_id, r / sigma AS z FROM ewma WHERE i >= 30), q AS (SELECT portfolio_id, quantile_cont(z, 0.010000000000000009) AS q FROM z GROUP BY 1), e AS (SELECT portfolio_id, q, avg(CASE WHEN z <= q THEN z END) AS m FROM z JOIN q USING (portfolio_id) GROUP BY 1, 2)
+SELECT portfolio_id, n, round(t, 8) AS sigma_today, round(q * t, 8) AS var_fhs, round(m * t, 8) AS es_fhs FROM today JOIN e USING (portfolio_id)""",
+        "q_evt": BASE + """, u AS (SELECT portfolio_id, count(*) AS n, quantile_cont(-r, 0.95) AS u FROM series GROUP BY 1),
+o AS (SELECT portfolio_id, n, u, -r - u AS y FROM series JOIN u USING (portfolio_id) WHERE -r > u), j AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY y) AS j, count(*) OVER (PARTITION BY portfolio_id) AS k FROM o),
+a AS (SELECT portfolio_id, n, u, k, avg(y) AS a0, avg((1 - (j - 0.35) / k) * y) AS a1 FROM j GROUP BY 1, 2, 3, 4), x AS (SELECT *, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS beta FROM a WHERE n >= 500 AND k >= 30 AND a0 - 2 * a1 > 0),
+v AS (SELECT *, u + beta / xi * (pow(n / k * (1 - 0.995), -xi) - 1) AS v FROM x WHERE xi < 0.95 AND beta > 0)
+SELECT portfolio_id, round(xi, 6) AS xi, round(beta, 6) AS beta, round(-v, 6) AS var_evt, round(-(v + beta - xi * u) / (1 - xi), 6) AS es_evt FROM (SELECT DISTINCT portfolio_id FROM series) LEFT JOIN v USING (portfolio_id)""",
+        "q_tail_dep": BASE + """, cut AS (SELECT asset, quantile_cont(r, 0.05) AS cut, count(*) AS n FROM returns GROUP BY 1), low AS (SELECT asset, d, n FROM returns JOIN cut USING (asset) WHERE r <= cut)
+SELECT x.asset AS a, y.asset AS b, count(*) AS "both", round(count(*) / (0.05 * max(x.n)), 6) AS tail_lambda FROM low x JOIN low y ON x.d = y.d AND x.asset < y.asset GROUP BY 1, 2""",
+        "q_srri": BASE + """, w AS (SELECT portfolio_id, CAST(date_trunc('week', d) AS DATE) AS wk, sum(r) AS r FROM series GROUP BY 1, 2),
+g AS (SELECT portfolio_id, CAST(unnest(generate_series(min(wk), max(wk), INTERVAL 7 DAY)) AS DATE) AS wk FROM w GROUP BY 1),
+b AS (SELECT portfolio_id, wk, coalesce(r, 0) AS r, row_number() OVER (PARTITION BY portfolio_id ORDER BY wk DESC) AS k FROM g LEFT JOIN w USING (portfolio_id, wk)), v AS (SELECT portfolio_id, count(*) AS weeks, stddev_samp(r) * sqrt(52) AS vol FROM b WHERE k <= 260 GROUP BY 1)
+SELECT portfolio_id, weeks, round(vol, 6) AS volatility, CAST(1 + (vol >= 0.005)::INT + (vol >= 0.02)::INT + (vol >= 0.05)::INT + (vol >= 0.1)::INT + (vol >= 0.15)::INT + (vol >= 0.25)::INT AS BIGINT) AS srri FROM v""",
+        "q_concentration_hhi": BASE + "SELECT portfolio_id, round(sum(w * w), 8) AS hhi, round(1 / sum(w * w), 8) AS effective_positions FROM weights GROUP BY 1",
+        "q_beta_1f": BASE + ", f AS (SELECT d, avg(r) AS f FROM returns GROUP BY 1) SELECT asset, count(*) AS n, round(regr_slope(r, f), 6) AS beta, round(regr_r2(r, f), 6) AS r2 FROM returns JOIN f USING (d) GROUP BY 1",
+        "q_stress": _stress_sql(),
+        "q_valuation": BASE + "SELECT portfolio_id, asset, round(quantity, 4) AS quantity, round(value, 4) AS value, round(quantity * first, 4) AS cost_total, round(value - quantity * first, 4) AS pnl, round((value - quantity * first) / (quantity * first), 4) AS pnl_share FROM holdings JOIN weights USING (portfolio_id, asset) JOIN last_px USING (asset)",
+        "q_bond_metrics": BONDS + "SELECT bond_id, round(fair, 6) AS fair, round(macaulay, 6) AS macaulay, round(modified, 6) AS modified, round(value, 6) AS value, round(modified * value * 1e-4, 6) AS dv01 FROM m",
+        "q_bond_summary": BONDS + ", t AS (SELECT sum(value) AS v, sum(modified * value) / sum(value) AS du FROM m) SELECT round(v, 4) AS value, round(du, 4) AS duration, bp::BIGINT AS shock_bp, round(-du * v * bp / 10000.0, 4) AS impact FROM t, (SELECT unnest([-100, 100, 300, 500]) AS bp)",
+        "q_daily_fill": """WITH p AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) AS px FROM orders GROUP BY 1, 2),
+g AS (SELECT asset, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM p GROUP BY 1)
+SELECT asset, d, round(last_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY d), 4) AS px FROM g LEFT JOIN p USING (asset, d)""",
+        "q_adv": "SELECT asset, count(*) AS days, round(avg(v), 6) AS adv FROM (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2) WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10",
+        "q_dedupe": "SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, round(max_by(CAST(o_totalprice AS DOUBLE), o_orderkey), 2) AS px FROM orders GROUP BY 1, 2",
+    }
