@@ -1,9 +1,9 @@
 """Substring dedup by level-wise doubling: words covered by a window of `length` words that occurs elsewhere go.
 
-Level one looks at windows of half the length. From those inside each full window the one with the least hash is
-taken (a minimiser: equal windows take equal ones), so about one position in ten is posted; a full window can only
-repeat if its half window does. Only where the half window repeats is it extended to the full length, and the full
-windows are posted in turn. Counts are combined before the shuffle, and the joins back can be split where a window is
+Level one looks at windows of a quarter of the length. From those inside each full window the one with the least hash
+is taken (a minimiser: equal windows take equal ones), so about one position in fourteen is posted; a full window can
+only repeat if this short window does. Only where it repeats is it doubled, twice in one step, to the full length, and
+the full windows are posted in turn. Counts are combined before the shuffle, and the joins back can be split where a window is
 common. The texts are shuffled once, by row, for the second level and the result alike; what is cheap to compute is
 computed again rather than written.
 """
@@ -35,14 +35,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _windows(words: np.ndarray, counts: np.ndarray, length: int):
-    """Starts of the full windows that lie in one text, the position of each one's half window, the half windows' hashes, the texts' starts."""
-    half = -(-length // 2)
-    grams = window_hashes(words, half)
+    """Starts of the full windows that lie in one text, the position of each one's short window, the short windows' hashes, the texts' starts."""
+    short = -(-length // 4)
+    grams = window_hashes(words, short)
     ends = np.cumsum(counts)
     starts = ends - counts
     if len(words) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), grams, starts
-    at = _least(grams, length - half + 1)
+    at = _least(grams, length - short + 1)
     room = np.repeat(ends, counts)[: len(at)] - np.arange(len(at))
     inside = np.flatnonzero(room >= length)
     return inside, at[inside], grams, starts
@@ -66,8 +66,8 @@ def _posted(b: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, h: np.ndarray)
     return pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["row", "pos", "h"])
 
 
-def half_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Level one: row, pos, h of the half windows that stand for the full windows of every text."""
+def short_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Level one: row, pos, h of the short windows that stand for the full windows of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,7 +81,7 @@ def half_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def full_windows(rows: DataFrame, survivors: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Level two: row, pos, h of the full windows around the half windows at survivors(row, at)."""
+    """Level two: row, pos, h of the full windows around the short windows at survivors(row, at)."""
     both = rows.join(survivors.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def _repeated(posted: DataFrame) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """row and at: the starts of its repeated full windows, for each row that has any."""
-    return _repeated(full_windows(rows, _repeated(half_windows(rows, length)), length))
+    return _repeated(full_windows(rows, _repeated(short_windows(rows, length)), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
