@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import norm_cdf
 from tidemark.operators.panel import gated
 
-P = Window.partitionBy("portfolio_id").orderBy("i")
 BANDS = [0.005, 0.02, 0.05, 0.10, 0.15, 0.25]
 LAMBDA, SEED_ROWS = 0.94, 30
 
@@ -71,8 +70,9 @@ def sharpe_confidence(series: DataFrame, rf_daily: float = 0.0, window: int = 25
 
 def drawdown(series: DataFrame, least: int = 120) -> DataFrame:
     """Deepest fall from the running peak, its root mean square, Calmar ratio, and the longest and present run below the peak."""
-    cum = series.select("portfolio_id", "i", "r", F.exp(F.sum("r").over(P)).alias("c"))
-    dd = cum.select("portfolio_id", "i", "r", (F.col("c") / F.max("c").over(P) - 1).alias("dd")).withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(P))
+    p = Window.partitionBy("portfolio_id").orderBy("i")
+    cum = series.select("portfolio_id", "i", "r", F.exp(F.sum("r").over(p)).alias("c"))
+    dd = cum.select("portfolio_id", "i", "r", (F.col("c") / F.max("c").over(p) - 1).alias("dd")).withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(p))
     runs = dd.groupBy("portfolio_id", "island").agg(F.count_if(F.col("dd") < 0).alias("run"))
     length = runs.groupBy("portfolio_id").agg(F.max("run").alias("longest"), F.max_by("run", "island").alias("now"))
     s = dd.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.min("dd").alias("mdd"), F.sqrt(F.avg(F.col("dd") ** 2)).alias("ulcer"), (F.exp(F.avg("r") * 252) - 1).alias("annual"))
