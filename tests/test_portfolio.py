@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf
-from tidemark.operators import bonds, panel, risk
+from tidemark.operators import backtest, bonds, exposure, panel, risk
 from tidemark.plans import catalog
 
 DATA = "/root/testdata/sf0.01"
@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["q_hist_var", "q_es", "q_drawdown", "q_fhs", "q_stress", "q_bond_metrics", "q_srri"])
+@pytest.mark.parametrize("name", ["q_hist_var", "q_es", "q_drawdown", "q_fhs", "q_stress", "q_bond_metrics", "q_srri", "q_backtest", "q_headline_var", "q_vol_regime", "q_beat_deposit", "q_fx_split", "q_liquidity", "q_shock_grid", "q_simulate"])
 def test_query_equals_sql(spark, duck, name):
     mine = catalog.queries()[name](spark, DATA)
     columns = sorted(mine.columns)
@@ -74,3 +74,65 @@ def test_zero_price_gives_no_infinity(spark):
     rows = [(a, date(2025, 1, 1) + timedelta(days=i), float(x)) for a, v in px.items() for i, x in enumerate(v)]
     r = panel.log_returns(spark.createDataFrame(rows, "asset string, d date, px double")).collect()
     assert len(r) == 6 and all(math.isfinite(x.r) for x in r)
+
+
+def _backtest(spark, n, seed):
+    r = np.random.default_rng(seed).normal(0.0005, 0.02, n)
+    return {x.model: x for x in backtest.backtest(risk.ewma_path(_series(spark, r))).collect()}, r
+
+
+def test_backtest_counts_by_hand(spark):
+    got, r = _backtest(spark, 420, 7)
+    by_hand = sum(r[t] < np.quantile(r[max(0, t - 500) : t], 1 - 0.99) for t in range(420 - 250, 420))
+    assert set(got) == set(backtest.MODELS) and got["historical"].days == 250 and got["historical"].violations == by_hand
+
+
+def test_backtest_of_too_few_days_keeps_rows(spark):
+    got, _ = _backtest(spark, 120, 7)
+    assert len(got) == 3 and all(x.days is None and x.zone is None for x in got.values())
+
+
+def test_headline_without_backtest_is_historical(spark):
+    path = risk.ewma_path(_series(spark, np.random.default_rng(3).normal(0, 0.01, 120)))
+    row = backtest.headline_var(path).first()
+    assert row.model == "historical" and row["var"] is not None and row.zone is None
+
+
+def test_vol_regime_needs_a_year(spark):
+    r = np.random.default_rng(41).normal(0, 0.01, 600)
+    whole, short = (backtest.vol_regime(risk.ewma_path(_series(spark, x))).first() for x in (r, r[:100]))
+    assert 0 <= whole.percentile <= 1 and whole.observations == 570 and short.percentile is None
+
+
+def test_deposit_odds(spark):
+    s = _series(spark, np.random.default_rng(5).normal(math.log(1.8) / 252, 0.008, 300))
+    row = exposure.beat_deposit(s, 0.4).first()
+    assert row.below < 0.3 and row.below > row.below_point
+    assert exposure.beat_deposit(s, None).first().below is None
+
+
+def test_portfolio_of_the_currency_alone(spark):
+    s = _series(spark, np.random.default_rng(3).normal(0, 0.01, 400))
+    w = spark.createDataFrame([("p", "usd", 10.0, 1.0)], "portfolio_id string, asset string, value double, w double")
+    row = exposure.currency_split(s, w, s.select("d", F.col("r").alias("f")), ["usd"]).first()
+    assert row.exposure == 1 and row.fx_share == pytest.approx(1) and row.local_share == pytest.approx(0)
+
+
+def test_liquidity_multiplier(spark):
+    rows = [("p", "slow", 100_000.0, 10_000.0, "equity"), ("p", "cash", 100_000.0, None, "liquid"), ("q", "none", 0.0, None, None)]
+    got = {r.asset: r for r in exposure.liquidity(spark.createDataFrame(rows, "portfolio_id string, asset string, value double, adv double, kind string")).collect()}
+    assert got["slow"].days_to_exit == 40 and got["cash"].lvar_multiplier == pytest.approx(0.5 * math.sqrt(40) + 0.5)
+    assert got["none"].lvar_multiplier is None
+
+
+def test_shocks_without_beta_count_as_nothing(spark):
+    betas = spark.createDataFrame([("p", "x", 0.8)], "portfolio_id string, factor string, beta double")
+    values = spark.createDataFrame([("p", 1e6)], "portfolio_id string, value double")
+    got = {r.scenario: r.impact for r in exposure.shock_grid(betas, values, [("fall", "x", -0.2), ("else", "y", -0.5)]).collect()}
+    assert got["fall"] == pytest.approx(-160_000) and got["else"] == 0
+
+
+def test_long_value_paths_are_thinned(spark):
+    s = _series(spark, [0.0] * 700)
+    got = exposure.value_path(s, spark.createDataFrame([("p", 5.0)], "portfolio_id string, value double")).orderBy("point").collect()
+    assert got[0].point == 0 and got[0].d is None and got[-1].point == 700 and len(got) <= 301 and {r.value for r in got} == {5.0}

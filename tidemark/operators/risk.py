@@ -96,10 +96,15 @@ def ewma_path(series: DataFrame) -> DataFrame:
     return series.select("portfolio_id", "i", "r").groupBy("portfolio_id").applyInPandas(path, "portfolio_id string, i int, r double, sigma double")
 
 
+def next_sigma(path: DataFrame) -> DataFrame:
+    """portfolio_id, n, sigma_next: the rows of each path and the volatility that its last row implies for the next day."""
+    last = path.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.max_by(F.struct("r", "sigma"), "i").alias("l"))
+    return last.select("portfolio_id", "n", F.sqrt(LAMBDA * F.col("l.sigma") ** 2 + (1 - LAMBDA) * F.col("l.r") ** 2).alias("sigma_next"))
+
+
 def filtered_historical(path: DataFrame, confidence: float = 0.99, least: int = 120) -> DataFrame:
     """Volatility of the next day, and VaR and shortfall from standardised returns scaled by it."""
-    last = path.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.max_by(F.struct("r", "sigma"), "i").alias("l"))
-    today = last.select("portfolio_id", "n", F.sqrt(LAMBDA * F.col("l.sigma") ** 2 + (1 - LAMBDA) * F.col("l.r") ** 2).alias("today"))
+    today = next_sigma(path).withColumnRenamed("sigma_next", "today")
     z = path.where(F.col("i") >= SEED_ROWS).select("portfolio_id", F.try_divide("r", "sigma").alias("z"))
     q = z.groupBy("portfolio_id").agg(F.percentile("z", 1 - confidence).alias("q"))
     tail = z.join(q, "portfolio_id").groupBy("portfolio_id", "q").agg(F.avg(F.when(F.col("z") <= F.col("q"), F.col("z"))).alias("zm"))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import backtest as T
 from tidemark.operators import bonds as B
+from tidemark.operators import exposure as E
 from tidemark.operators import panel as N
 from tidemark.operators import risk as R
 from tidemark.sources import roles as S
 
 SCENARIOS = [("mid_1996", "1996-05-01", "1996-09-30", "A"), ("autumn_1998", "1998-08-01", "1998-10-31", "A"), ("spring_2000", "2000-03-01", "2000-06-30", "B"), ("before_data", "1980-01-01", "1980-12-31", "B")]
 
+FX, DIRECT, DEPOSIT = "1-URGENT", ["A"], 0.4
+SHOCKS = [("fall", "A", -0.2), ("fall", "N", -0.1), ("fall", "R", -0.1), ("rise", "A", 0.1), ("rise", "N", 0.15), ("elsewhere", "other", -0.3)]
+
 
 def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
@@ -59,6 +66,25 @@ def _dedupe(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("asset", "d").agg(F.max_by("px", "seq").alias("px"))
 
 
+def _fx(spark: SparkSession, d: str) -> DataFrame:
+    return E.log_change(N.daily_fill(S.sparse_prices(spark, d).where(F.col("asset") == FX), ["asset"]))
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return _weights(spark, d).groupBy("portfolio_id").agg(F.sum("value").alias("value"))
+
+
+def _liquidity(spark: SparkSession, d: str) -> DataFrame:
+    """Positions against the volume in money: R trades as an equity, A as a fund, the rest is liquid."""
+    kind = F.when(F.col("asset") == "R", "equity").when(F.col("asset") == "A", "fund").otherwise("liquid")
+    return E.liquidity(_weights(spark, d).join(_adv(spark, d).select("asset", "adv"), "asset", "left").withColumn("kind", kind))
+
+
+def _shocks(spark: SparkSession, d: str) -> DataFrame:
+    factors = _returns(spark, d).select(F.col("asset").alias("factor"), "d", F.col("r").alias("f"))
+    return E.shock_grid(E.factor_betas(_series(spark, d), factors), _values(spark, d), SHOCKS)
+
+
 def queries() -> dict:
     series = lambda f, digits=8: lambda spark, d: _rounded(f(_series(spark, d)), digits)
     returns = lambda f, digits=8: lambda spark, d: _rounded(f(_returns(spark, d)), digits)
@@ -75,6 +101,14 @@ def queries() -> dict:
         "q_drawdown": series(R.drawdown, 6),
         "q_ewma_path": series(R.ewma_path),
         "q_fhs": series(lambda s: R.filtered_historical(R.ewma_path(s))),
+        "q_backtest": series(lambda s: T.backtest(R.ewma_path(s)), 6),
+        "q_headline_var": series(lambda s: T.headline_var(R.ewma_path(s)), 6),
+        "q_vol_regime": series(lambda s: T.vol_regime(R.ewma_path(s)), 6),
+        "q_beat_deposit": series(lambda s: E.beat_deposit(s, DEPOSIT), 6),
+        "q_fx_split": lambda spark, d: _rounded(E.currency_split(_series(spark, d), _weights(spark, d), _fx(spark, d), DIRECT), 6),
+        "q_liquidity": lambda spark, d: _rounded(_liquidity(spark, d), 6),
+        "q_shock_grid": lambda spark, d: _rounded(_shocks(spark, d), 4),
+        "q_simulate": lambda spark, d: _rounded(E.value_path(_series(spark, d), _values(spark, d)), 2),
         "q_evt": series(R.evt_tail, 6),
         "q_tail_dep": returns(R.tail_dependence, 6),
         "q_srri": series(R.srri, 6),
@@ -140,7 +174,46 @@ def oracle_sql() -> dict[str, str]:
     back = "(SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY i DESC) AS back FROM series)"
     cdf = "CASE WHEN z > 0 THEN 1 - t ELSE t END"
     tail = "exp(-z * z / 2) * ((((((3.52624965998911e-02 * y + 0.700383064443688) * y + 6.37396220353165) * y + 33.912866078383) * y + 112.079291497871) * y + 221.213596169931) * y + 220.206867912376) / (((((((8.83883476483184e-02 * y + 1.75566716318264) * y + 16.064177579207) * y + 86.7807322029461) * y + 296.564248779674) * y + 637.333633378831) * y + 793.826512519948) * y + 440.413735824752)"
+    p, zq = "0.010000000000000009", NormalDist().inv_cdf(1 - 0.99)
+    ll = lambda prob, k, m: f"({m} * ln(greatest(1 - {prob}, 1e-12)) + {k} * ln(greatest({prob}, 1e-12)))"
+    chi = lambda lr: f"(SELECT CASE WHEN lr > 0 THEN 2 * t ELSE 1.0 END FROM (SELECT lr, {tail} AS t FROM (SELECT {lr} AS lr, sqrt(greatest({lr}, 0)) AS z, sqrt(greatest({lr}, 0)) AS y)))"
+    phi = lambda z: f"(SELECT {cdf} FROM (SELECT z, {tail} AS t FROM (SELECT {z} AS z, abs({z}) AS y)))"
+    tests = f""", wide AS (SELECT portfolio_id, i, count(*) OVER (PARTITION BY portfolio_id) AS n, r, quantile_cont(r, {p}) OVER b AS historical, {zq} * sigma AS ewma,
+    quantile_cont(CASE WHEN i >= 30 THEN r / sigma END, {p}) OVER b * sigma AS fhs FROM ewma WINDOW b AS (PARTITION BY portfolio_id ORDER BY i ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)),
+tested AS (SELECT * FROM wide WHERE least(250, n - 150) >= 75 AND i >= n - least(250, n - 150)),
+hits AS (SELECT portfolio_id, i, 'historical' AS model, (r < historical)::INT AS hit FROM tested UNION ALL SELECT portfolio_id, i, 'ewma', (r < ewma)::INT FROM tested UNION ALL SELECT portfolio_id, i, 'fhs', (r < fhs)::INT FROM tested),
+moved AS (SELECT *, lag(hit) OVER (PARTITION BY portfolio_id, model ORDER BY i) AS was FROM hits),
+s AS (SELECT portfolio_id, model, count(*) AS n, sum(hit)::BIGINT AS x, count(*) FILTER (was = 0 AND hit = 0) AS n00, count(*) FILTER (was = 0 AND hit = 1) AS n01, count(*) FILTER (was = 1 AND hit = 0) AS n10, count(*) FILTER (was = 1 AND hit = 1) AS n11 FROM moved GROUP BY 1, 2),
+l AS (SELECT *, -2 * ({ll(p, "x", "(n - x)")} - {ll("(x / n)", "x", "(n - x)")}) AS uc,
+    -2 * ({ll("((n01 + n11) / (n - 1))", "(n01 + n11)", "(n00 + n10)")} - {ll("(n01 / nullif(n00 + n01, 0))", "n01", "n00")} - {ll("(n11 / nullif(n10 + n11, 0))", "n11", "n10")}) AS ind FROM s),
+scored AS (SELECT portfolio_id, model, n AS days, x AS violations, round(CAST(n * {p} AS DOUBLE), 6) AS expected, round({chi("uc")}, 6) AS kupiec_p, CASE WHEN x >= 2 AND n00 + n01 > 0 AND n10 + n11 > 0 THEN round({chi("ind")}, 6) END AS christoffersen_p,
+    CASE WHEN x * 250 / n <= 4 THEN 'green' WHEN x * 250 / n <= 9 THEN 'yellow' ELSE 'red' END AS zone FROM l),
+tests AS (SELECT portfolio_id, model, days, violations, expected, kupiec_p, christoffersen_p, zone FROM (SELECT DISTINCT portfolio_id, unnest(['historical', 'ewma', 'fhs']) AS model FROM series) LEFT JOIN scored USING (portfolio_id, model)),
+today AS (SELECT portfolio_id, count(*) AS n, sqrt(0.94 * pow(max_by(sigma, i), 2) + 0.06 * pow(max_by(r, i), 2)) AS t FROM ewma GROUP BY 1)"""
+    fx = f""", fxp AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) AS px FROM orders WHERE o_orderpriority = '{FX}' GROUP BY 1),
+fxd AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM fxp), fxf AS (SELECT d, last_value(px IGNORE NULLS) OVER (ORDER BY d) AS px FROM fxd LEFT JOIN fxp USING (d)), fx AS (SELECT d, ln(px / lag(px) OVER (ORDER BY d)) AS f FROM fxf),
+e AS (SELECT portfolio_id, least(1.0, coalesce(sum(CASE WHEN asset IN ('{"', '".join(DIRECT)}') THEN w END), 0.0)) AS e FROM weights GROUP BY 1),
+v AS (SELECT portfolio_id, e, count(*) AS n, var_samp(r) AS vp, var_samp(r - e * f) AS vl, var_samp(e * f) AS vf, var_samp(f) AS vx, avg(f) AS m FROM series JOIN fx USING (d) JOIN e USING (portfolio_id) WHERE f IS NOT NULL GROUP BY 1, 2)"""
+    totals = ", totals AS (SELECT portfolio_id, sum(value) AS value FROM weights GROUP BY 1)"
+    shocks = ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in SHOCKS)
     return {
+        "q_backtest": BASE + EWMA + tests + " SELECT * FROM tests",
+        "q_headline_var": BASE + EWMA + tests + f""", best AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY CASE zone WHEN 'green' THEN 2 WHEN 'yellow' THEN 1 WHEN 'red' THEN 0 ELSE -1 END DESC, kupiec_p DESC NULLS LAST, list_position(['historical', 'ewma', 'fhs'], model)) AS k FROM tests),
+zz AS (SELECT portfolio_id, quantile_cont(r / sigma, {p}) AS q FROM ewma WHERE i >= 30 GROUP BY 1)
+SELECT portfolio_id, model, round(CASE model WHEN 'fhs' THEN q * t WHEN 'ewma' THEN {zq} * t ELSE var END, 6) AS var, zone, kupiec_p FROM best JOIN hv USING (portfolio_id) JOIN today USING (portfolio_id) JOIN zz USING (portfolio_id) WHERE k = 1""",
+        "q_vol_regime": BASE + EWMA + tests + """ SELECT portfolio_id, count(*) AS observations, round(max(t) * sqrt(252), 6) AS current_vol, round(avg((sigma <= t)::INT), 6) AS percentile, round(quantile_cont(sigma, 0.5) * sqrt(252), 6) AS median_vol
+FROM ewma JOIN today USING (portfolio_id) WHERE i >= 30 GROUP BY 1""",
+        "q_beat_deposit": BASE + f""", m AS (SELECT portfolio_id, count(r) AS n, avg(r - ln(1 + {DEPOSIT}) / 252) / stddev_pop(r) AS sr FROM series GROUP BY 1), zs AS (SELECT *, -sr * sqrt(252) AS z0, -sr * sqrt(252) / sqrt(1 + (1 + 0.5 * sr * sr) / n * 252) AS z1 FROM m)
+SELECT portfolio_id, n, round({phi("z1")}, 6) AS below, round({phi("z0")}, 6) AS below_point FROM zs""",
+        "q_fx_split": BASE + fx + " SELECT portfolio_id, round(e, 6) AS exposure, round(vl / vp, 6) AS local_share, round(vf / vp, 6) AS fx_share, round((vp - vl - vf) / vp, 6) AS cov_share, round(sqrt(vx * 252), 6) AS fx_vol, round(m * 252, 6) AS fx_drift FROM v WHERE n >= 120",
+        "q_liquidity": BASE + """, adv AS (SELECT asset, avg(v) AS adv FROM daily WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10),
+t AS (SELECT portfolio_id, asset, w, CASE asset WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN greatest(1.0::DOUBLE, coalesce(value / (0.25::DOUBLE * adv), 1.0)) ELSE 1.0 END AS t FROM weights LEFT JOIN adv USING (asset))
+SELECT portfolio_id, asset, round_even(t, 1) AS days_to_exit, round(w, 6) AS value_share, round(sum(w * sqrt(t)) OVER (PARTITION BY portfolio_id), 6) AS lvar_multiplier FROM t""",
+        "q_shock_grid": BASE + totals + f""", betas AS (SELECT s.portfolio_id, x.asset AS factor, regr_slope(s.r, x.r) AS beta FROM series s JOIN returns x USING (d) GROUP BY 1, 2), shocks(scenario, factor, shock) AS (VALUES {shocks}),
+c AS (SELECT portfolio_id, scenario, value, sum(coalesce(beta, 0) * shock) AS change FROM totals CROSS JOIN shocks LEFT JOIN betas USING (portfolio_id, factor) GROUP BY 1, 2, 3) SELECT portfolio_id, scenario, round(change, 4) AS change, round(change * value, 4) AS impact FROM c""",
+        "q_simulate": BASE + totals + """, whole AS (SELECT portfolio_id, 0::BIGINT AS point, NULL::DATE AS d, value FROM totals UNION ALL SELECT portfolio_id, i + 1, d, value * exp(sum(r) OVER (PARTITION BY portfolio_id ORDER BY i)) FROM series JOIN totals USING (portfolio_id)),
+c AS (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS n FROM whole)
+SELECT portfolio_id, point, d, round(value, 2) AS value FROM c WHERE point % (CASE WHEN n > 300 THEN n // 300 + 1 ELSE 1 END) = 0 OR point = n - 1""",
         "q_log_returns": BASE + "SELECT asset, d, round(r, 8) AS r FROM returns",
         "q_portfolio_returns": BASE + "SELECT portfolio_id, d, round(r, 8) AS r, i FROM series",
         "q_weights": BASE + "SELECT portfolio_id, asset, round(value, 6) AS value, round(w, 6) AS w FROM weights",
