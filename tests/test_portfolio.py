@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf
-from tidemark.operators import backtest, bonds, exposure, panel, risk
+from tidemark.operators import allocation, backtest, bonds, exposure, panel, risk
 from tidemark.plans import catalog
 
 DATA = "/root/testdata/sf0.01"
@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["q_hist_var", "q_es", "q_drawdown", "q_fhs", "q_stress", "q_bond_metrics", "q_srri", "q_backtest", "q_headline_var", "q_vol_regime", "q_beat_deposit", "q_fx_split", "q_liquidity", "q_shock_grid", "q_simulate"])
+@pytest.mark.parametrize("name", ["q_hist_var", "q_es", "q_drawdown", "q_fhs", "q_stress", "q_bond_metrics", "q_srri", "q_backtest", "q_headline_var", "q_vol_regime", "q_beat_deposit", "q_fx_split", "q_liquidity", "q_shock_grid", "q_simulate", "q_lw_cov", "q_attribution", "q_real", "q_score"])
 def test_query_equals_sql(spark, duck, name):
     mine = catalog.queries()[name](spark, DATA)
     columns = sorted(mine.columns)
@@ -136,3 +136,61 @@ def test_long_value_paths_are_thinned(spark):
     s = _series(spark, [0.0] * 700)
     got = exposure.value_path(s, spark.createDataFrame([("p", 5.0)], "portfolio_id string, value double")).orderBy("point").collect()
     assert got[0].point == 0 and got[0].d is None and got[-1].point == 700 and len(got) <= 301 and {r.value for r in got} == {5.0}
+
+
+def _panel(spark, x):
+    start = date(2022, 1, 3)
+    rows = [(f"a{j}", start + timedelta(days=i), float(v)) for i, row in enumerate(x) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "asset string, d date, r double")
+
+
+def _shrunk(x, textbook):
+    x = x - x.mean(0)
+    t, k = x.shape
+    s, sd = x.T @ x / t, x.std(0)
+    size, off = np.outer(sd, sd), ~np.eye(k, dtype=bool)
+    rbar = (s / size)[off].mean()
+    f = np.where(off, rbar * size, s)
+    noise = (x**2).T @ x**2 / t - s**2
+    theta = (x**3).T @ x / t - np.diag(s)[:, None] * s
+    lean = theta * sd[None, :] / (sd[:, None] * (1 if textbook else sd[None, :] + 1e-12))
+    d = min(1, max(0, (noise.sum() - np.trace(noise) - rbar * lean[off].sum()) / ((f - s) ** 2).sum() / t))
+    return d, d * f + (1 - d) * s
+
+
+def test_shrunk_covariance_and_attribution(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (500, 1)) * 0.5 + rng.normal(0, 1, (500, 4)) * np.array([2.0, 1.0, 1.5, 0.5])
+    values = [60.0, 40.0, 10.0, 30.0]
+    w = spark.createDataFrame([("p", f"a{j}", v, v / 140) for j, v in enumerate(values)] + [("q", "a0", 5.0, 1.0), ("r", "new", 5.0, 1.0)], "portfolio_id string, asset string, value double, w double")
+    moments = allocation.pair_moments(_panel(spark, x))
+    for textbook in (False, True):
+        want, c = _shrunk(x, textbook)
+        rows = allocation.shrunk_covariance(moments, w, textbook).where("portfolio_id = 'p'").collect()
+        assert all(r.cov == pytest.approx(c[int(r.a[1]), int(r.b[1])], abs=1e-12) and r.shrinkage == pytest.approx(want, abs=1e-9) for r in rows) and len(rows) == 16
+    c = _shrunk(x, False)[1]
+    got = {(r.portfolio_id, r.asset): r for r in allocation.attribution(allocation.shrunk_covariance(moments, w), w, spark.createDataFrame([("p", -0.03), ("q", -0.1)], "portfolio_id string, var double")).collect()}
+    v, total = np.array(values), 140 * 0.03
+    for j in range(4):
+        rest = np.delete(np.arange(4), j)
+        sigma = math.sqrt(v[rest] @ c[np.ix_(rest, rest)] @ v[rest] / (v @ c @ v))
+        assert got["p", f"a{j}"].incremental == pytest.approx(total * (sigma - 1)) and got["p", f"a{j}"].component == pytest.approx(v[j] * (c @ v)[j] / (v @ c @ v) * total)
+    assert got["q", "a0"].component is None and got["r", "new"].share is None
+
+
+def test_real_returns(spark):
+    s = _series(spark, np.full(900, math.log(1.45) / 365))
+    months = [(date(2021 + (m + 6) // 12, (m + 6) % 12 + 1, 28), 100 * 1.035**m) for m in range(40)]
+    r = allocation.real_returns(s, spark.createDataFrame(months, "d date, v double")).first()
+    assert r.inflation == pytest.approx(1.035**12 - 1) and r.nominal > 0 and r.real == pytest.approx((1 + r.nominal) / (1 + r.inflation) - 1)
+    assert allocation.real_returns(s, spark.createDataFrame(months[:12], "d date, v double")).first().real is None
+
+
+def test_score_passes_missing_weights_on(spark):
+    rows = [("a", 1.0, 2.6, 4, 1.0, "yellow", 0.0), ("b", -0.5, None, None, None, None, None), ("c", None, None, None, None, None, None)]
+    parts = spark.createDataFrame(rows, "portfolio_id string, sharpe double, effective_bets double, n_assets int, tail_ratio double, zone string, prob_loss double")
+    got = {r.portfolio_id: r for r in allocation.composite_score(parts).collect()}
+    assert got["a"].diversification == 53.3 and got["a"].model == 50 and got["a"].drawdown is None
+    assert got["a"].score == pytest.approx(round((35 * 100 + 20 * 160 / 3 + 15 * 100 + 10 * 50 + 10 * 100) / 90, 1)) and got["b"].score == 25 and got["c"].score is None
+    fallen = spark.createDataFrame([("d", -0.2, -0.1, 3.0)], "portfolio_id string, max_drawdown double, expected_drawdown double, calmar double")
+    assert allocation.composite_score(fallen).first().drawdown == 5

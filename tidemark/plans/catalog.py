@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import allocation as A
 from tidemark.operators import backtest as T
 from tidemark.operators import bonds as B
 from tidemark.operators import exposure as E
@@ -85,6 +86,23 @@ def _shocks(spark: SparkSession, d: str) -> DataFrame:
     return E.shock_grid(E.factor_betas(_series(spark, d), factors), _values(spark, d), SHOCKS)
 
 
+def _cov(spark: SparkSession, d: str) -> DataFrame:
+    return A.shrunk_covariance(A.pair_moments(_returns(spark, d)), _weights(spark, d))
+
+
+def _attribution(spark: SparkSession, d: str) -> DataFrame:
+    return A.attribution(_cov(spark, d), _weights(spark, d), R.historical_var(_series(spark, d)))
+
+
+def _score(spark: SparkSession, d: str) -> DataFrame:
+    """The score from the figures of the other queries, as they report them."""
+    q = queries()
+    ask = lambda name, *columns: q[name](spark, d).select("portfolio_id", *columns)
+    parts = ask("q_sharpe_ci", F.col("low").alias("sharpe")).join(ask("q_fhs", F.try_divide("es_fhs", "var_fhs").alias("tail_ratio")), "portfolio_id", "left")
+    parts = parts.join(ask("q_headline_var", "zone"), "portfolio_id", "left").join(ask("q_real", "prob_loss"), "portfolio_id", "left")
+    return A.composite_score(parts.join(ask("q_drawdown", "max_drawdown", "calmar"), "portfolio_id", "left"))
+
+
 def queries() -> dict:
     series = lambda f, digits=8: lambda spark, d: _rounded(f(_series(spark, d)), digits)
     returns = lambda f, digits=8: lambda spark, d: _rounded(f(_returns(spark, d)), digits)
@@ -114,6 +132,10 @@ def queries() -> dict:
         "q_srri": series(R.srri, 6),
         "q_concentration_hhi": lambda spark, d: _rounded(R.concentration(_weights(spark, d))),
         "q_beta_1f": lambda spark, d: _rounded(R.beta((r := _returns(spark, d)), r.groupBy("d").agg(F.avg("r").alias("f"))), 6),
+        "q_lw_cov": lambda spark, d: _rounded(_cov(spark, d).select("portfolio_id", "a", "b", "shrinkage", (F.col("cov") * 1e4).alias("cov"))),
+        "q_attribution": lambda spark, d: _rounded(_attribution(spark, d), 4),
+        "q_real": lambda spark, d: _rounded(A.real_returns(_series(spark, d), S.price_index(spark, d)), 6),
+        "q_score": _score,
         "q_stress": lambda spark, d: _rounded(_stress(spark, d), 2),
         "q_valuation": lambda spark, d: _rounded(_valuation(spark, d), 4),
         "q_bond_metrics": lambda spark, d: _rounded(B.metrics(S.bonds(spark, d)).select("bond_id", "fair", "macaulay", "modified", "value", "dv01"), 6),
@@ -196,7 +218,24 @@ e AS (SELECT portfolio_id, least(1.0, coalesce(sum(CASE WHEN asset IN ('{"', '".
 v AS (SELECT portfolio_id, e, count(*) AS n, var_samp(r) AS vp, var_samp(r - e * f) AS vl, var_samp(e * f) AS vf, var_samp(f) AS vx, avg(f) AS m FROM series JOIN fx USING (d) JOIN e USING (portfolio_id) WHERE f IS NOT NULL GROUP BY 1, 2)"""
     totals = ", totals AS (SELECT portfolio_id, sum(value) AS value FROM weights GROUP BY 1)"
     shocks = ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in SHOCKS)
-    return {
+    cov = """, x AS (SELECT asset, d, r - avg(r) OVER (PARTITION BY asset) AS x FROM returns),
+mo AS (SELECT p.asset AS a, q.asset AS b, count(*) AS n, avg(p.x * q.x) AS s, avg(p.x * p.x * q.x * q.x) AS q, avg(p.x * p.x * p.x * q.x) AS c FROM x p JOIN x q USING (d) GROUP BY 1, 2),
+own AS (SELECT w.portfolio_id, m.*, sqrt(va.s) AS sa, sqrt(vb.s) AS sb FROM mo m JOIN weights w ON w.asset = m.a JOIN weights u ON u.asset = m.b AND u.portfolio_id = w.portfolio_id JOIN mo va ON va.a = m.a AND va.b = m.a JOIN mo vb ON vb.a = m.b AND vb.b = m.b),
+su AS (SELECT portfolio_id, avg(CASE WHEN a <> b THEN s / (sa * sb) END) AS rbar, sum(q - s * s) AS pi, sum(CASE WHEN a = b THEN q - s * s END) AS rho, sum(CASE WHEN a <> b THEN (c - sa * sa * s) * sb / (sa * (sb + 1e-12)) END) AS lean FROM own GROUP BY 1),
+ta AS (SELECT *, CASE WHEN a <> b THEN rbar * sa * sb ELSE s END AS t FROM own JOIN su USING (portfolio_id)),
+de AS (SELECT portfolio_id, greatest(0.0, least(1.0, (max(pi) - max(rho) - max(rbar) * max(lean)) / sum((t - s) * (t - s)) / max(n))) AS delta FROM ta GROUP BY 1),
+cov AS (SELECT portfolio_id, a, b, delta, s + delta * (t - s) AS cov FROM ta JOIN de USING (portfolio_id))"""
+    cpi = """, cpi AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) AS v FROM orders GROUP BY 1), cb AS (SELECT *, row_number() OVER (ORDER BY d DESC) AS k FROM cpi),
+y AS (SELECT max(CASE WHEN k = 13 THEN d END) AS a, max(CASE WHEN k = 1 THEN d END) AS b, max(CASE WHEN k = 1 THEN v END) / max(CASE WHEN k = 13 THEN v END) - 1 AS inf FROM cb),
+rb AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY i DESC) AS back FROM series CROSS JOIN y),
+rm AS (SELECT portfolio_id, inf, count(*) AS n, count(*) FILTER (d > a AND d <= b) AS k, sum(r) FILTER (d > a AND d <= b) AS w, sum(r) FILTER (back <= 252) AS l, avg(r) FILTER (back <= 504) * 252 AS mu, stddev_samp(r) FILTER (back <= 504) * sqrt(252) AS sg FROM rb GROUP BY 1, 2),
+rn AS (SELECT *, exp(CASE WHEN k >= 60 THEN w ELSE l END) - 1 AS nom, (ln(1 + inf) - mu) / sg AS zz FROM rm WHERE n >= 120)"""
+    out = {
+        "q_lw_cov": BASE + cov + " SELECT portfolio_id, a, b, round(delta, 8) AS shrinkage, round(cov * 10000, 8) AS cov FROM cov",
+        "q_attribution": BASE + cov + """, ro AS (SELECT portfolio_id, a AS asset, sum(cov * value) AS m, sum(CASE WHEN a = b THEN cov END) AS c FROM cov JOIN weights w USING (portfolio_id) WHERE w.asset = b GROUP BY 1, 2),
+ea AS (SELECT portfolio_id, asset, value, w, m, c, abs(var) * sum(value) OVER p AS money, sum(value * m) OVER p AS v FROM weights JOIN ro USING (portfolio_id, asset) JOIN hv USING (portfolio_id) WINDOW p AS (PARTITION BY portfolio_id))
+SELECT portfolio_id, asset, round(w, 4) AS weight, round(value * m / v * money, 4) AS component, round(value * m / v, 4) AS share, round(money * (sqrt(greatest(0.0, v - 2 * value * m + value * value * c) / v) - 1), 4) AS incremental FROM ea""",
+        "q_real": BASE + cpi + f" SELECT portfolio_id, n, round(inf, 6) AS inflation, round(nom, 6) AS nominal, round((1 + nom) / (1 + inf) - 1, 6) AS \"real\", round({phi('zz')}, 6) AS prob_loss, k >= 60 AS aligned FROM rn",
         "q_backtest": BASE + EWMA + tests + " SELECT * FROM tests",
         "q_headline_var": BASE + EWMA + tests + f""", best AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY CASE zone WHEN 'green' THEN 2 WHEN 'yellow' THEN 1 WHEN 'red' THEN 0 ELSE -1 END DESC, kupiec_p DESC NULLS LAST, list_position(['historical', 'ewma', 'fhs'], model)) AS k FROM tests),
 zz AS (SELECT portfolio_id, quantile_cont(r / sigma, {p}) AS q FROM ewma WHERE i >= 30 GROUP BY 1)
@@ -259,3 +298,10 @@ SELECT asset, d, round(last_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDE
         "q_adv": "SELECT asset, count(*) AS days, round(avg(v), 6) AS adv FROM (SELECT l_returnflag AS asset, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2) WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10",
         "q_dedupe": "SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, round(max_by(CAST(o_totalprice AS DOUBLE), o_orderkey), 2) AS px FROM orders GROUP BY 1, 2",
     }
+    part = lambda x: f"greatest(0.0, least(100.0, {x}))"
+    out["q_score"] = f"""WITH c AS (SELECT portfolio_id, {part('50 + 50 * low')} AS sharpe, CAST(NULL AS DOUBLE) AS diversification, {part('(1.8 - es_fhs / var_fhs) / 0.8 * 100')} AS tail,
+CAST(CASE zone WHEN 'green' THEN 100 WHEN 'yellow' THEN 50 WHEN 'red' THEN 0 END AS DOUBLE) AS model, {part('(0.6 - prob_loss) / 0.6 * 100')} AS "real", {part('calmar / 2 * 100')} AS drawdown
+FROM ({out["q_sharpe_ci"]}) JOIN ({out["q_fhs"]}) USING (portfolio_id) JOIN ({out["q_headline_var"]}) USING (portfolio_id) JOIN ({out["q_real"]}) USING (portfolio_id) JOIN ({out["q_drawdown"]}) USING (portfolio_id))
+SELECT portfolio_id, round(sharpe, 1) AS sharpe, diversification, round(tail, 1) AS tail, round(model, 1) AS model, round("real", 1) AS "real", round(drawdown, 1) AS drawdown,
+round((35 * sharpe + 15 * tail + 10 * model + 10 * "real" + 10 * drawdown) / 80, 1) AS score FROM c"""
+    return out

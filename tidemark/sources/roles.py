@@ -29,6 +29,12 @@ def sparse_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg((F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*")).alias("px"))
 
 
+def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """d, v: the average order value of each month, at its last day, as an index of consumer prices."""
+    o = table(spark, sf_dir, "orders").groupBy(F.last_day(F.col("o_orderdate").cast("date")).alias("d"))
+    return o.agg((F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*")).alias("v"))
+
+
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """portfolio_id, asset, quantity: what the customers of each market segment bought."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
