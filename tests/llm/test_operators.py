@@ -61,13 +61,50 @@ def test_packing_of_odd_rows(spark, odd):
     assert packing.packed_documents(odd.limit(0)).count() == 0
 
 
-def test_tokens_by_parts_equal_the_whole(documents):
+def test_tokens_by_parts_equal_the_whole(spark):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.word_bpe_path())
-    texts = [r.text for r in documents.select("text").limit(40).collect()] + ["É́ x\t y's\x1cz\r\n '' <|endoftext|>a", "  ", "ÀBİ ǅ ﬁ"]
+    path = packing.word_bpe_path()
+    tokenizer, r = Tokenizer.from_file(path), random.Random(3)
+    texts = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["É́ x\t y's\x1cz\r\n '' <|endoftext|>a", "  ", "ÀBİ ǅ ﬁ"]
+    signs = [chr(c) for c in [*range(1, 0x180), *range(0x300, 0x310), *range(0x3A0, 0x460), 0x1E9E, 0x212A, 0x130, 0x2026, 0x2014, 0x1F600, 0x4E00, 0x661, 0xB2]]
+    texts += ["".join(r.choice(signs if i % 2 else "a's'tre'll dÀİıſßŸÿĲ«–1.²<|") for _ in range(r.randint(1, 12))) for i in range(4000)]
     for t in texts:
-        assert packing._ids(packing.word_bpe_path(), t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing._ids(path, t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_small_cache_gives_the_same():
+    made = []
+    kept = packing._Kept(lambda x: made.append(x) or x.upper(), 2)
+    assert [kept[x] for x in "abcabdacb"] == list("ABCABDACB") and len(kept) <= 2 and len(made) < 9
+
+
+def best_fit(lengths, capacity):
+    """Sequences that the same rule needs, piece by piece: large pieces by pairs, small ones into the tightest gap."""
+    large, small = sorted(k for k in lengths if 3 * k > capacity), sorted((k for k in lengths if 3 * k <= capacity), reverse=True)
+    gaps = []
+    while large:
+        k = large.pop()
+        fits = [x for x in large if x <= capacity - k]
+        if fits:
+            large.remove(fits[-1])
+        gaps.append(capacity - k - (fits[-1] if fits else 0))
+    for k in small:
+        best = min((g for g in gaps if g >= k), default=None)
+        if best is None:
+            gaps.append(capacity - k)
+        else:
+            gaps[gaps.index(best)] -= k
+    return len(gaps)
+
+
+def test_plan_needs_no_more_sequences_than_piece_by_piece():
+    for seed in range(80):
+        r = random.Random(seed)
+        cap = r.choice([12, 30, 100, 4096])
+        lengths = [r.randint(1, cap if r.random() < 0.5 else max(1, cap // 3)) for _ in range(150)]
+        used = {first + j // each for _, _, n, first, _, each in packing.plan(collections.Counter(lengths), cap) for j in range(n)}
+        assert len(used) == best_fit(lengths, cap)
 
 
 def test_quality(spark, documents, odd):

@@ -9,6 +9,7 @@ find their place by their rank within their length, which is counted by salts so
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -25,8 +26,8 @@ from tidemark.llm._common import materialise
 CAPACITY = 4096
 #: Pieces of one length that share a salt, on average at most; the number of salts follows from the row count.
 ROWS_A_SALT = 200_000
-#: Words whose ids are kept by a Python worker; the memory bound of the tokeniser's cache.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, whose ids a Python worker keeps in each of two generations; the memory bound of the tokeniser's caches.
+CACHE_WORDS = 200_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -88,32 +89,71 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-class Words(dict):
-    """Token ids, as little-endian 32-bit bytes, of what stands between ASCII spaces and line feeds.
+#: Letters with one code point each, whose composed form is themselves and whose lower case is one such letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u017eА-яЁё"
+#: Parts of these signs are split here as the tokenizer splits them, so that its model alone is asked; all others go through the whole tokenizer.
+PLAIN = re.compile(f"[{LETTERS}0-9!-/:;=-@[-`{{-~–—‘’“”„…«»¿¡]+")
+#: The tokenizer's own split, for lower-cased parts of those signs.
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+#: Bytes that stand for themselves in a byte-level vocabulary; the others are numbered on from 256.
+SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-    The tokenizer drops white space and no token reaches across it, so a text's ids are those of its parts in order."""
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
+def byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary, by the byte's Latin-1 code point."""
+    others = (b for b in range(256) if b not in set(SELF))
+    return {b: chr(b) for b in SELF} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Kept(dict):
+    """A bounded cache of two generations: when the new one is full it becomes the old one, and what is met again moves on."""
 
-    def __missing__(self, part: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= 48:
-            if len(self) >= CACHE_WORDS:
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 48:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[part] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+def _word_ids(path: str) -> _Kept:
+    """Token ids, as little-endian 32-bit bytes, of what stands between ASCII spaces and line feeds.
 
+    The tokenizer drops white space and no token reaches across it, so a text's ids are those of its parts in order.
+    A part of plain signs is lower-cased and split here, and each piece, met once in many parts, goes to the model."""
+    from tokenizers import Tokenizer
 
-_words: dict[str, Words] = {}
+    tokenizer = Tokenizer.from_file(path)
+    model, signs = tokenizer.model, byte_signs()
+
+    def of_piece(piece: str) -> bytes:
+        data = piece if piece.isascii() else piece.encode().decode("latin-1").translate(signs)
+        return np.asarray([t.id for t in model.tokenize(data)], "<u4").tobytes()
+
+    pieces = _Kept(of_piece, CACHE_WORDS)
+
+    def of_part(part: str) -> bytes:
+        if PLAIN.fullmatch(part):
+            return b"".join([pieces[x] for x in SPLIT.findall(part.lower())])
+        return np.asarray(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return _Kept(of_part, CACHE_WORDS)
+
+
+_words: dict[str, _Kept] = {}
 
 
 def _ids(path: str, text: str) -> bytes:
     if path not in _words:
-        from tokenizers import Tokenizer
-
-        _words[path] = Words(Tokenizer.from_file(path))
+        _words[path] = _word_ids(path)
     w = _words[path]
     return b"".join([w[x] for x in text.replace("\n", " ").split(" ") if x])
 
