@@ -257,20 +257,3 @@ def test_near_duplicates(spark, odd):
     assert kept == {i * 10 for i in range(12)}
     left = neardup.distinct_documents(odd)
     assert left.columns == odd.columns and sorted(str(x.doc_id) for x in left.collect()) == ["1", "3", "4", "6", "None"]
-
-
-def test_candidate_links_join_what_is_near(spark):
-    r = random.Random(9)
-    base = [r.getrandbits(63) for _ in range(4)]
-    fps = [b ^ sum(1 << p for p in r.sample(range(63), r.randint(0, 3))) for b in base for _ in range(40)] + base[:1] * 3 + [r.getrandbits(63) for _ in range(40)]
-    nodes = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "nid long, fps array<long>")
-    for longest in (2, 16, 2000):
-        edges = {(x.v, x.u) for x in neardup.candidate_links(nodes, longest).collect()}
-        root = list(range(len(fps)))
-        for _ in fps:
-            for v, u in edges:
-                root[u] = root[v] = min(root[u], root[v])
-        for i in range(len(fps)):
-            for j in range(i):
-                assert (fps[i] ^ fps[j]).bit_count() > 3 or root[i] == root[j]
-        assert all((fps[u] ^ fps[v]).bit_count() <= 24 for v, u in edges)
