@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; words are what lies between.
@@ -28,8 +28,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, else the context's checkpoint folder, else (tests) an own one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir()
+    """The folder for intermediate tables: spark.checkpoint.dir, else the context's checkpoint folder, else, in local mode alone, an own one."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given or _own_dir()
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
@@ -45,6 +48,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.col(doc_id).alias("rk_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("rk_text")]
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chunks_of(texts: list[bytes], most: int = 1 << 19):
     """(first, last) index ranges of texts of about `most` bytes together; a longer text stands alone."""
     first, held = 0, 0

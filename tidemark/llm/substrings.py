@@ -1,11 +1,11 @@
 """Substring dedup by level-wise doubling: words covered by a window of `length` words that occurs elsewhere go.
 
-Level one looks at windows of a quarter of the length. From those inside each full window the one with the least hash
-is taken (a minimiser: equal windows take equal ones), so about one position in fourteen is posted; a full window can
-only repeat if this short window does. Only where it repeats is it doubled, twice in one step, to the full length, and
-the full windows are posted in turn. Counts are combined before the shuffle, and the joins back can be split where a window is
-common. The texts are shuffled once, by row, for the second level and the result alike; what is cheap to compute is
-computed again rather than written.
+The levels are windows of 9, 18 and 35 words: halves of the length until they are short. On a level below the last, the
+window of least hash inside each full window is posted (a minimiser: equal full windows take equal ones, so a full window
+can only repeat if this one does, and one position in a few is posted). What repeats alone goes on to twice the length, until
+no candidates survive or the length is reached, where the full windows themselves are posted, by 128 bits of hash. Counts
+are combined before the shuffle, and the joins back can be split where a window is common. The texts are shuffled once, by
+row, for the levels and the result alike.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chunks_of, hash_words, window_hashes
+from tidemark.llm._common import chunks_of, hash_words, mix, window_hashes
 
 LENGTH = 35
 
@@ -34,18 +34,25 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _windows(words: np.ndarray, counts: np.ndarray, length: int):
-    """Starts of the full windows that lie in one text, the position of each one's short window, the short windows' hashes, the texts' starts."""
-    short = -(-length // 4)
+def levels(length: int) -> list[int]:
+    """The windows' lengths: doubled from at least nine words up to the length."""
+    out = [length]
+    while out[0] >= 18:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _windows(words: np.ndarray, counts: np.ndarray, length: int, short: int):
+    """Starts of the full windows that lie in one text, the position of each one's window of a level, the texts' starts, and those windows' hashes."""
     grams = window_hashes(words, short)
     ends = np.cumsum(counts)
     starts = ends - counts
     if len(words) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams, starts
-    at = _least(grams, length - short + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), starts, grams
+    at = _least(grams, length - short + 1) if short < length else np.arange(len(grams))
     room = np.repeat(ends, counts)[: len(at)] - np.arange(len(at))
     inside = np.flatnonzero(room >= length)
-    return inside, at[inside], grams, starts
+    return inside, at[inside], starts, grams
 
 
 def _each(b: pa.RecordBatch, text: int):
@@ -57,58 +64,53 @@ def _each(b: pa.RecordBatch, text: int):
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text: equal rows have equal results) and the text's bytes."""
+    """doc_id, row and row2 (hashes of id and text, 128 bits: equal rows have equal results) and the text's bytes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.cast("binary").alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.xxhash64(F.lit(1), text, "doc_id").alias("row2"), text.cast("binary").alias("text"))
 
 
-def _posted(b: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["row", "pos", "h"])
+POSTED = ["row", "row2", "pos", "h", "h2"]
 
 
-def short_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Level one: row, pos, h of the short windows that stand for the full windows of every text."""
+def windows(rows: DataFrame, level: int, length: int = LENGTH, before: tuple[int, DataFrame] | None = None) -> DataFrame:
+    """row, row2, pos, h, h2 of a level's windows, for the full windows whose window of the level before repeats.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for words, counts, first in _each(b, 2):
-                _, at, grams, starts = _windows(words, counts, length)
-                at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-                row = np.searchsorted(starts, at, side="right") - 1
-                yield _posted(b, row + first, at - starts[row], grams[at])
-
-    return rows.mapInArrow(run, "row long, pos int, h long")
-
-
-def full_windows(rows: DataFrame, survivors: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Level two: row, pos, h of the full windows around the short windows at survivors(row, at)."""
-    both = rows.join(survivors.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "at")
+    before: that level, and its repeated windows (row, row2, at); none for the first. h2 is null but on the last level."""
+    old = before[0] if before else 0
+    both = rows if before is None else rows.join(before[1].hint("shuffle_hash"), ["row", "row2"]).select(*rows.columns, "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = b.column(3).to_pylist()
-            for words, counts, first in _each(b, 2):
-                starts, at, _, docs_at = _windows(words, counts, length)
-                alive = np.zeros(len(words) + 1, bool)
-                for k, s in enumerate(docs_at):
-                    alive[s + np.asarray(kept[first + k], np.int64)] = True
-                starts = starts[alive[at]]
-                if len(starts):
-                    row = np.searchsorted(docs_at, starts, side="right") - 1
-                    yield _posted(b, row + first, starts - docs_at[row], window_hashes(words, length)[starts])
+            kept = b.column(4).to_pylist() if old else None
+            for words, counts, first in _each(b, 3):
+                starts, at, docs_at, grams = _windows(words, counts, length, level)
+                if old:
+                    alive = np.zeros(len(words) + 1, bool)
+                    for k, s in enumerate(docs_at):
+                        alive[s + np.asarray(kept[first + k], np.int64)] = True
+                    at = at[alive[_windows(words, counts, length, old)[1]]]
+                at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+                if len(at):
+                    row = np.searchsorted(docs_at, at, side="right") - 1
+                    of = pa.array(row + first)
+                    more = pa.array(window_hashes(mix(words), level)[at].view(np.int64)) if level == length else pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(of), b.column(2).take(of), pa.array((at - docs_at[row]).astype(np.int32)), pa.array(grams[at].view(np.int64)), more], names=POSTED)
 
-    return both.mapInArrow(run, "row long, pos int, h long")
+    return both.mapInArrow(run, "row long, row2 long, pos int, h long, h2 long")
 
 
 def _repeated(posted: DataFrame) -> DataFrame:
-    """row and at (array of positions) of what is posted more than once."""
-    twice = posted.groupBy("h").count().where("count > 1").select("h")
-    return posted.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("at"))
+    """row, row2 and at (array of positions) of what is posted more than once."""
+    twice = posted.groupBy("h", "h2").count().where("count > 1").select("h", F.col("h2").alias("more"))
+    return posted.join(twice.withColumnRenamed("h", "hash"), F.expr("h = hash AND h2 <=> more"), "left_semi").groupBy("row", "row2").agg(F.collect_list("pos").alias("at"))
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row and at: the starts of its repeated full windows, for each row that has any."""
-    return _repeated(full_windows(rows, _repeated(short_windows(rows, length)), length))
+    """row, row2 and at: the starts of its repeated full windows, for each row that has any. Lengths and levels are parameters, so the plan has a step a level."""
+    before = None
+    for level in levels(length):
+        before = level, _repeated(windows(rows, level, length, before))
+    return before[1]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -116,14 +118,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Words stand between ASCII white space, unchanged. A word goes if any window of `length` consecutive words over it
     has its word sequence starting anywhere else too, in the same text or another; windows are judged on the input.
-    A repeated row makes its windows repeat. Null text: no words. Windows are told apart by 64-bit hashes."""
+    A repeated row makes its windows repeat. Null text: no words; an empty table: no rows; other columns are ignored.
+    Windows and rows are told apart by 128 bits of hash."""
     rows = _rows(docs)
-    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "at")
+    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), ["row", "row2"], "left").select("doc_id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
                 if starts:
