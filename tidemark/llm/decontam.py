@@ -31,6 +31,10 @@ COMMON, LEAST = 0.05, 3
 FIT_DOCS = 4000
 COSINE, SURE, LOOSE, ANSWER = 0.55, 0.8, 0.55, 0.75
 TERM_ROWS = 256
+#: An item of more words is found by passages of two blocks, as documents are; all are checked whole.
+WHOLE = 64
+#: Words of the items that are searched for at once: bounds what is collected and broadcast. A larger benchmark is searched in parts.
+MOST_WORDS = 2_000_000
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -59,7 +63,8 @@ class Index:
     terms: np.ndarray  # sorted word hashes of the benchmark
     idf: np.ndarray
     axes: np.ndarray  # terms x rank, times the terms' idf once built
-    items: np.ndarray  # items x rank, of length 1
+    items: np.ndarray  # the items' passages x rank, of length 1
+    owner: np.ndarray  # the item of each passage
     ids: list
     words: list  # the items' word hashes
     answers: list  # word hashes of the answers, or of the rarest quarter of the item's words
@@ -94,7 +99,7 @@ def _summed(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many documents each term stands, and the number of documents, over all rows."""
     rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    empty = Index(terms, np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), [], [], [])
+    empty = Index(terms, np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, np.int64), [], [], [])
     shared = docs.sparkSession.sparkContext.broadcast(empty)  # the benchmark's terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +151,7 @@ def axes(docs: DataFrame, index: Index, items: list[bytes], share: float, rank:
     r = min(n, rank + OVERSAMPLE)
     if not n:
         return np.zeros((0, 0), np.float32)
-    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < int(share * (1 << 62))).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     own = _passages(index, items)
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, r)))[0].astype(np.float32)
     spark = docs.sparkSession
@@ -203,20 +208,24 @@ def build(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, rank
         if telling[at].sum() < LEAST:
             telling[at] = True
     idf[~telling] = 0
-    index = Index(terms, idf, np.zeros((0, 0)), np.zeros((0, 0)), [], [], [])
+    index = Index(terms, idf, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, np.int64), [], [], [])
     index.axes = axes(docs, index, texts, min(1.0, fit_docs / max(n, 1)), rank) * idf[:, None]
+    passages, owner = [], []
     for r, w in zip(rows, words, strict=True):
         if not len(w):
             continue
-        total = index.axes[index.position(w)].sum(0)
+        for first in range(0, len(w) - BLOCK, BLOCK) if len(w) > WHOLE else (0,):
+            total = index.axes[index.position(w[first : first + 2 * BLOCK] if len(w) > WHOLE else w)].sum(0)
+            passages.append(total / max(float(np.linalg.norm(total)), 1e-9))
+            owner.append(len(index.ids))
         index.ids.append(r.item_id)
         index.words.append(w)
         distinct = np.unique(w)
         rare = distinct[np.argsort(-idf[index.position(distinct)], kind="stable")][: max(1, len(distinct) // 4)]
         own = _words([r.answer.encode()])[0] if r.answer else rare
         index.answers.append(own if len(own) else rare)
-        index.items = np.vstack([index.items.reshape(-1, index.axes.shape[1]), total / max(float(np.linalg.norm(total)), 1e-9)])
-    index.items = index.items.astype(np.float32)
+    index.items = np.asarray(passages, np.float32).reshape(len(passages), index.axes.shape[1])
+    index.owner = np.asarray(owner, np.int64)
     return index
 
 
@@ -247,7 +256,7 @@ def candidates(index: Index, texts: list[bytes], cosine: float = COSINE):
         for p, item in zip(*np.nonzero(near >= cosine), strict=True):
             k = enough[a + p]
             first = starts[owner[k]] + number[k] * BLOCK
-            found.append((int(owner[k]), int(first), int(min(first + 2 * BLOCK, ends[owner[k]])), int(item), float(near[p, item])))
+            found.append((int(owner[k]), int(first), int(min(first + 2 * BLOCK, ends[owner[k]])), int(index.owner[item]), float(near[p, item])))
     return found, words, starts, ends
 
 
@@ -302,8 +311,23 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataF
     return rows.mapInArrow(run, "rk_id long, rk_text long, item_id long, cosine double, in_sequence double, answered boolean")
 
 
+def search(docs: DataFrame, benchmark: DataFrame, most_words: int = MOST_WORDS, **how) -> DataFrame:
+    """rk_id, rk_text, item_id, cosine, in_sequence, answered of every item of the benchmark in every row of docs, as `contaminated` gives them.
+
+    The benchmark is searched in parts of about `most_words` words, each with its own latent space, so that the memory of
+    driver and executors is bounded whatever its size. Extra columns of either table, whatever their names, are not read."""
+    words = benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " ")))).first()[0] or 0
+    parts, hits = max(1, -(-words // most_words)), None
+    for k in range(parts):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
+        own = contaminated(docs, build(docs, part, **how))
+        hits = own if hits is None else hits.unionAll(own)
+    return hits
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs in which no item of the benchmark is found, with their columns."""
-    hits = contaminated(docs, build(docs, benchmark, **how)).select(F.col("rk_id").alias("__hid"), F.col("rk_text").alias("__htext")).distinct()
-    rows = docs.select("*", *[k.alias(f"__{n}") for k, n in zip(row_key(), ("id", "text"), strict=True)])
-    return rows.join(hits, F.expr("__id <=> __hid AND __text = __htext"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs in which no item of the benchmark is found, with their columns. Repeated rows stay or go alike; null texts stay."""
+    hits = search(docs, benchmark, **how).select(F.col("rk_id").alias("__hid"), F.col("rk_text").alias("__htext")).distinct()
+    names = [(c, f"__{i}") for i, c in enumerate(docs.columns)]  # docs may have columns of any name
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names], *[k.alias(f"__{n}") for k, n in zip(row_key(), ("id", "text"), strict=True)])
+    return rows.join(hits, F.expr("__id <=> __hid AND __text = __htext"), "left_anti").select(*[F.col(n).alias(c) for c, n in names])
