@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import bound
+
 #: (rule, verdict): host, then the start of a path from its slash on.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 BUCKETS, SIZES, BLOCK_AT = 1 << 13, (3, 4), 0.5
@@ -52,9 +54,12 @@ def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, told apart by a prefix; the ends are marked."""
 
     def of(text: Column, mark: str) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
-        each = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole) - n + 1)), lambda i, n=n: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n)))) for n in SIZES]
-        return F.concat(*each)
+        def sized(signs: Column, n: int) -> Column:  # from an array, since a place in a string is found by counting from its start
+            at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(signs) - n))
+            return F.transform(at, lambda i: F.concat(F.lit(mark), *[F.coalesce(F.get(signs, i + k), F.lit("")) for k in range(n)]))
+
+        each = lambda signs: F.concat(*[sized(signs, n) for n in SIZES])
+        return bound(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), each)
 
     return F.concat(of(host, "h"), of(path, "p"))
 
@@ -73,9 +78,9 @@ def _hashing() -> HashingTF:
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and block_probability of every row of pages(page_id, url).
 
-    A rule fits its host and all subdomains if the path starts with the rule's; the longest decides, and `rule` is null
+    Urls are judged whole. A rule fits its host and all subdomains if the path starts with the rule's; the longest decides, and `rule` is null
     where none fits; then the model does. Null or malformed urls have an empty host and path and are judged all the
-    same. Other columns of pages, whatever their names, are not read. Repeated rows repeat."""
+    same. Other columns of pages, whatever their names, are not read. Repeated rows repeat; no pages: no rows."""
     model = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
