@@ -26,9 +26,16 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
 def _loads(text: str | None):
+    """A JSON object; null for all else, and for one that can't be written again (lone surrogates, NaN, too deep)."""
     try:
-        return json.loads(text) if text and text.lstrip()[:1] == "{" else None
+        data = json.loads(text, parse_constant=_no_constant) if text and text.lstrip()[:1] == "{" else None
+        canonical(data).encode()
+        return data
     except (ValueError, RecursionError):
         return None
 
@@ -37,7 +44,7 @@ def fault(value, schema: dict, at: str = "arguments") -> str | None:
     """The first way in which a value breaks a JSON schema (type, required, properties, additionalProperties, enum, items), or null."""
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"integer": number and float(value).is_integer(), "number": number}.get(kind, kind is None or isinstance(value, _KINDS.get(kind, object)))
+    fits = {"integer": number and (isinstance(value, int) or value.is_integer()), "number": number}.get(kind, kind is None or isinstance(value, _KINDS.get(kind, object)))
     if not fits:
         return f"{at}: not of type {kind}"
     if "enum" in schema and value not in schema["enum"]:
@@ -92,42 +99,47 @@ def parsed(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataF
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id, level of calls(conv_id, id, refs): 1 without references, else 1 more than the highest call named.
+    """conv_id, id, level, place_turn of calls(conv_id, id, refs, call_turn, answer_turn).
 
-    Calls in a cycle, or that wait for one, get no row. References to unknown calls, or to the call itself, are
-    a cycle only in the latter case. One round of joins a level."""
+    level: 1 without references, else 1 more than the highest call named. place_turn: the latest of the call's own turn and,
+    for each call that it names, that call's place and answer. Calls in a cycle, or that wait for one, get no row.
+    References to unknown calls don't count; one to the call itself is a cycle. One round of joins a level."""
+    key = ["conv_id", "id"]
     known = calls.select("conv_id", F.col("id").alias("ref")).distinct()
-    edges = calls.select("conv_id", "id", F.explode("refs").alias("ref")).distinct().join(known, ["conv_id", "ref"])
-    left, done, level = calls.select("conv_id", "id").distinct(), None, 1
+    edges = calls.select(*key, F.explode("refs").alias("ref")).distinct().join(known, ["conv_id", "ref"])
+    left, done, level = calls.select(*key, "call_turn", "answer_turn", F.col("call_turn").alias("place_turn")).dropDuplicates(key), None, 1
     while True:
-        waiting = edges.select("conv_id", "id").distinct()
-        now = materialise(left.join(waiting, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level)), "level")
+        waiting = edges.select(*key).distinct()
+        now = materialise(left.join(waiting, key, "left_anti").withColumn("level", F.lit(level)), "level")
         done = now if done is None else done.unionAll(now)
-        left = materialise(left.join(waiting, ["conv_id", "id"], "left_semi"), "left")
-        if left.isEmpty() or now.isEmpty():
-            return done
-        edges = materialise(edges.join(now.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_anti"), "edges")
+        left = left.join(waiting, key, "left_semi")
+        if now.isEmpty() or left.isEmpty():
+            return done.select(*key, "level", "place_turn")
+        ready = now.select("conv_id", F.col("id").alias("ref"), F.greatest("place_turn", "answer_turn").alias("seen"))
+        later = edges.join(ready, ["conv_id", "ref"]).groupBy(*key).agg(F.max("seen").alias("seen"))
+        left = materialise(left.join(later, key, "left").withColumn("place_turn", F.greatest("place_turn", "seen")).drop("seen"), "left")
+        edges = materialise(edges.join(ready.select("conv_id", "ref"), ["conv_id", "ref"], "left_anti"), "edges")
         level += 1
 
 
 def linked(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """Every message, canonical and placed: conv_id, turn, role, after_turn, level, n_calls, n_answered, n_valid, status, json.
 
-    (after_turn, level, turn) is the order within a conversation: plain messages and calls stand at their own turn, a
-    result at its own or its call's, whichever is later, and a call at the latest of its own and those it refers to.
-    status: plain, calls, cycle, result, orphan (no such call) or duplicate (the id has an earlier result). Where an id is
-    used by several calls, the first in (turn, place) is linked and the others count as invalid. Null text or role: plain
-    with a null. Repeated rows stay. One row a message, so no conversation is gathered in one place."""
+    (after_turn, level, turn) is the order within a conversation: plain messages stand at their own turn, a call at the latest
+    of its own and of the places and answers of all calls that it waits for, directly or not, and a result at its own turn or
+    its call's place, whichever is later. level is 0 for plain messages, odd for calls, and one more for their results.
+    status: plain, calls, cycle (placed at its own turn), result, orphan (no such call) or duplicate (the id has an earlier
+    result). Where an id is used by several calls, the first in (turn, place) is linked and the others count as invalid. Null
+    text or role: plain with a null. Repeated rows stay; an empty table gives no rows; other columns are ignored. One row a
+    message, so no conversation is gathered in one place."""
     rows = materialise(parsed(messages, schemas), "chat")
     call = F.col("call")
     each = rows.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("place", "call")).where("call.id IS NOT NULL")
     first = each.groupBy("conv_id", call["id"].alias("id")).agg(F.min(F.struct("turn", "place", call["refs"].alias("refs"))).alias("f")).select("conv_id", "id", F.col("f.turn").alias("call_turn"), F.col("f.place").alias("call_place"), F.col("f.refs").alias("refs"))
     results = rows.where("result_of IS NOT NULL").select("conv_id", F.col("result_of").alias("id"), "turn")
     answer = results.groupBy("conv_id", "id").agg(F.min("turn").alias("answer_turn"))
-    level = levels(first)
-    known = materialise(first.join(answer, ["conv_id", "id"], "left").join(level, ["conv_id", "id"], "left"), "calls")
-    refs = known.select("conv_id", "id", F.explode("refs").alias("ref")).join(known.select("conv_id", F.col("id").alias("ref"), F.greatest("call_turn", "answer_turn").alias("ref_turn")), ["conv_id", "ref"])
-    after = known.join(refs.groupBy("conv_id", "id").agg(F.max("ref_turn").alias("ref_turn")), ["conv_id", "id"], "left").withColumn("place_turn", F.greatest("call_turn", F.coalesce("ref_turn", "call_turn")))
+    known = materialise(first.join(answer, ["conv_id", "id"], "left"), "calls")
+    after = known.drop("refs").join(levels(known), ["conv_id", "id"], "left").withColumn("place_turn", F.coalesce("place_turn", "call_turn")).withColumn("level", F.expr("2 * level - 1"))
     mine = each.select("conv_id", "turn", "place", call["id"].alias("id"), call["fault"].isNull().alias("fine")).join(after, ["conv_id", "id"])
     is_first = F.expr("turn = call_turn AND place = call_place")
     of_calls = mine.groupBy("conv_id", "turn").agg(F.max("place_turn").alias("c_after"), F.max("level").alias("c_level"), F.max(F.col("level").isNull()).alias("cycle"), F.count_if(is_first & F.col("answer_turn").isNotNull()).alias("n_answered"), F.count_if(is_first & F.col("fine")).alias("n_valid"))
