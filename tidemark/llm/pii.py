@@ -1,25 +1,29 @@
 """PII surrogates in SQL functions alone: detected entities get keyed replacements of the same type and format.
 
-Entities are normalised (case, separators), so that all writings of one get the same surrogate, over the whole corpus.
-A surrogate is drawn from a keyed hash: digits for digits and letters for letters of the same case, in the same places;
-octets for octets; names of the same script and gender. Distinctness is checked on the table of distinct entities: of
-those that drew the same surrogate the first keeps it and the others draw again, as do those that drew one already
-taken or one that is itself an entity of the corpus, until none is left.
+Entities are normalised (case, separators), so that all writings of one get the same surrogate, over the whole corpus. A
+name is two entities, its first and its last part: whoever is named with and without a first name keeps one last name. A
+surrogate is drawn from a keyed hash (HMAC): digits for digits and letters for letters of the same case, in the same
+places; octets for octets; a valid check digit for a valid one; names of the same script and gender. Distinctness is
+checked on the table of distinct entities: of those that drew the same surrogate the first keeps it and the others draw
+again, as do those that drew one already taken or one that is itself an entity of the corpus, until none is left. Every
+few draws the form grows by a sign, so that this ends even where the entities fill their form.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialise, row_key
+from tidemark.llm._common import bound, materialise, row_key
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TITLES_M, TITLES_F = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"], ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"]
 NAME = r"[\p{Lu}][\p{Ll}]+(?:-[\p{Lu}][\p{Ll}]+)?"
 #: Kinds with their patterns, the first that fits deciding.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -41,7 +45,8 @@ SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zu"],
     "cyrillic": ["ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зу"],
 }
-KEY = "tidemark"
+#: Draws before the form grows by a sign.
+DRAWS = 3
 
 
 def kind_of(hit: Column) -> Column:
@@ -61,9 +66,33 @@ def normal_form(kind: Column, hit: Column) -> Column:
     return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits)).when(kind.startswith("name"), F.lower(_titleless(hit))).otherwise(F.lower(hit))
 
 
-def _draw(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+def entities_of(kind: Column, hit: Column) -> Column:
+    """array<struct<kind, norm>>: the entity of a hit; of a name its first part, if there, and its last."""
+    norm = normal_form(kind, hit)
+    one = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+    words = F.split(norm, " ")
+    last = one(F.lit("last"), F.element_at(words, -1))
+    name = F.when(F.size(words) > 1, F.array(one(F.replace(kind, F.lit("name"), F.lit("first")), F.element_at(words, 1)), last)).otherwise(F.array(last))
+    return F.when(kind.startswith("name"), name).otherwise(F.array(one(kind, norm)))
+
+
+def keyed(key: bytes, message: Column) -> Column:
+    """HMAC-SHA512 of a string, as hex digits."""
+    block = (key if len(key) <= 128 else hashlib.sha512(key).digest()).ljust(128, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in block))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 512))), 512)
+
+
+def _checksum(digits: Column) -> Column:
+    """The Luhn sum of a string of digits, its last digit being the check digit's place."""
+    n = F.length(digits)
+    each = F.transform(F.split(digits, ""), lambda d, i: F.when((n - i) % 2 == 0, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+
+
+def _draw(key: bytes, kind: Column, norm: Column, attempt: int) -> Column:
     """The surrogate's normal form that an entity draws at an attempt."""
-    stream = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
+    stream, grown = keyed(key, F.concat_ws("|", kind, norm, F.lit(str(attempt)))), attempt // DRAWS
     number = lambda i: F.conv(F.substring(stream, (i % 42) * 3 + 1, F.lit(3)), 16, 10).cast("int")
     low, figures = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -71,29 +100,42 @@ def _draw(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         pick = lambda a: F.substring(F.lit(a), number(i) % len(a) + 1, F.lit(1))
         return F.when(c.rlike("[a-z]"), pick(low)).when(c.rlike("[0-9]"), pick(figures)).otherwise(c)
 
-    spelled = F.array_join(F.transform(F.split(norm, ""), letter), "")
-    at = F.locate("@", norm)
+    spell = lambda x: F.array_join(F.transform(F.split(x, ""), letter), "")
+    spelled = spell(F.concat(norm, F.lit("0" * grown)))
     last_dot = F.length(norm) - F.locate(".", F.reverse(norm)) + 1
-    email = F.concat(F.array_join(F.transform(F.split(F.substring(norm, F.lit(1), last_dot - 1), ""), letter), ""), F.substring(norm, last_dot, F.length(norm)))
+    own = F.regexp_replace(F.substring(norm, F.lit(1), last_dot - 1), "@", "a" * grown + "@")
+    email = F.concat(spell(own), F.substring(norm, last_dot, F.length(norm)))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (number(i) % 254 + 1).cast("string")), ".")
+    head = F.substring(spelled, F.lit(1), F.length(spelled) - 1)
+    check = F.concat(head, F.pmod(-_checksum(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
+    card = F.when(_checksum(norm) % 10 == 0, check).otherwise(spelled)
+    country = F.substring(norm, F.lit(1), F.length(norm) - 10)
+    area = F.lit("555") if attempt < DRAWS else F.substring(spelled, F.length(country) + 1, F.lit(3))
+    phone = F.concat(country, area, F.substring(spelled, F.length(country) + 4, F.length(spelled)))
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+
+    def syllables(s: str, n: int) -> Column:
+        return F.concat(*[F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[s]]), number(F.lit(i)) % 16 + 1) for i in range(1, n + 1)])
+
     name = F.lit("")
-    for (gender, s), firsts in FIRST.items():
-        syllable = lambda i, s=s: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[s]]), number(F.lit(i)) % 16 + 1)
-        made = F.concat(*[syllable(i) for i in range(1, 6)])
-        first = F.element_at(F.array(*[F.lit(x) for x in firsts]), number(F.lit(0)) % 16 + 1)
-        whole = F.lower(F.when(norm.contains(" "), F.concat(first, F.lit(" "), made)).otherwise(made))
-        name = F.when((kind == f"name_{gender}") & (script == s), whole).otherwise(name)
-    phone = F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), F.lit("555"), F.substring(spelled, F.length(spelled) - 6, F.lit(7)))
-    return F.when(kind == "ip", octets).when(kind.startswith("name"), name).when((kind == "email") & (at > 0), email).when(kind == "phone", phone).otherwise(spelled)
-
-
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, norm, surrogate of the distinct entities(kind, norm): no two of a kind share a surrogate, and none is an entity."""
+    for s in SYLLABLES:
+        made = syllables(s, 5 + grown)
+        for gender in "mf":
+            listed = F.element_at(F.array(*[F.lit(x.lower()) for x in FIRST[gender, s]]), number(F.lit(0)) % 16 + 1)
+            name = F.when((kind == f"first_{gender}") & (script == s), listed if attempt == 0 else syllables(s, 2 + grown)).otherwise(name)
+        name = F.when((kind == "last") & (script == s), made).otherwise(name)
+    named = kind.isin("first_m", "first_f", "last")
+    return F.when(kind == "ip", octets).when(named, name).when((kind == "email") & norm.contains("@"), email).when(kind == "phone", phone).when(kind == "card", card).otherwise(spelled)
+
+
+def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
+    """kind, norm, surrogate of the distinct entities(kind, norm): no two of a kind share a surrogate, and none is an entity.
+
+    A round of draws each time, on those still without one; the form's growth makes the rounds few. No entities: no rows."""
     known = materialise(entities.distinct(), "entities")
     left, done, attempt = known, None, 0
     while attempt == 0 or not left.isEmpty():
-        drawn = left.withColumn("surrogate", _draw(key, F.col("kind"), F.col("norm"), F.lit(attempt)))
+        drawn = left.withColumn("surrogate", _draw(key, F.col("kind"), F.col("norm"), attempt))
         free = drawn.join(known.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -105,36 +147,42 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _written(hit: Column, kind: Column, norm: Column, surrogate: Column) -> Column:
-    """The surrogate written as the hit is: its separators and capitals, a name's title."""
+    """The surrogate written as the hit is: its separators and capitals, a name's title. What it has grown by stands at the end."""
     title = F.regexp_extract(hit, rf"^((?:{'|'.join(TITLES_M + TITLES_F)})\.? )", 1)
     chars = F.split(hit, "")
     is_mark = lambda c: ~c.rlike("[0-9]")
     skip = F.length(norm) - F.length(F.regexp_replace(hit, "[^0-9]", ""))  # a country code that isn't written
     zero = F.struct(skip.alias("at"), F.lit("").alias("out"))
     step = lambda acc, c: F.struct((acc["at"] + F.when(is_mark(c), 0).otherwise(1)).alias("at"), F.concat(acc["out"], F.when(is_mark(c), c).otherwise(F.substring(surrogate, acc["at"] + 1, F.lit(1)))).alias("out"))
-    spaced = F.aggregate(chars, zero, step, lambda acc: acc["out"])
+    spaced = F.aggregate(chars, zero, step, lambda acc: F.concat(acc["out"], F.substring(surrogate, acc["at"] + 1, F.length(surrogate))))
     cased = F.array_join(F.zip_with(chars, F.split(surrogate, ""), lambda c, s: F.when(c.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
     return F.when(kind.startswith("name"), F.concat(title, F.initcap(surrogate))).when(kind == "ip", surrogate).when(kind == "email", cased).otherwise(spaced)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with every entity of the text replaced, and n_pii, the number replaced; all other columns as they are.
 
-    Kinds: e-mail and IP addresses, card, phone and social security numbers, and names after a title. Null texts stay
-    null. Repeated rows stay and read alike. Texts without entities aren't shuffled. n_chars, if there, is set anew."""
+    key: a secret of the run; who has it can draw the surrogates again. Kinds: e-mail and IP addresses, card, phone and social
+    security numbers, and names after a title (a last name that stands alone is no entity). Null texts stay null. Repeated
+    rows stay and read alike; an empty table gives no rows. Texts without entities aren't shuffled. n_chars, if there, is set
+    anew."""
     has = F.coalesce((F.col("text").rlike(SIGN) | F.col("text").rlike(TITLE)) & F.col("text").rlike(ANY), F.lit(False))
     rows = docs.where(has).select(*row_key(), F.expr("regexp_extract_all(text, '{}', 0)".format(ANY.replace("\\", "\\\\").replace("'", "\\'"))).alias("hits"))
-    hit = rows.distinct().select("rk_id", "rk_text", F.posexplode("hits").alias("place", "hit")).withColumn("kind", kind_of(F.col("hit")))
-    hits = materialise(hit.withColumn("norm", normal_form(F.col("kind"), F.col("hit"))), "pii")
+    hit = rows.distinct().select("rk_id", "rk_text", F.posexplode("hits").alias("place", "hit")).withColumn("hit_kind", kind_of(F.col("hit")))
+    hits = materialise(hit.select("*", F.posexplode(entities_of(F.col("hit_kind"), F.col("hit"))).alias("part", "e")).select("*", "e.kind", "e.norm").drop("e"), "pii")
     table = surrogates(hits.select("kind", "norm"), key)
-    new = hits.join(table, ["kind", "norm"]).select("rk_id", "rk_text", F.struct("place", _written(F.col("hit"), F.col("kind"), F.col("norm"), F.col("surrogate")).alias("new")).alias("s"))
+    same = ["rk_id", "rk_text", "place", "hit", "hit_kind"]
+    joined = hits.join(table, ["kind", "norm"]).groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("part", "norm", "surrogate"))).alias("p"))
+    whole = lambda c: F.array_join(F.col(f"p.{c}"), " ")
+    new = joined.select("rk_id", "rk_text", F.struct("place", _written(F.col("hit"), F.col("hit_kind"), whole("norm"), whole("surrogate")).alias("new")).alias("s"))
     of = new.groupBy("rk_id", "rk_text").agg(F.array_sort(F.collect_list("s")).alias("news"))
-    marked = docs.where(has).select("*", *[k.alias(f"__{n}") for k, n in zip(row_key(), ("id", "text"), strict=True)])
-    both = marked.join(of, F.expr("__id <=> rk_id AND __text = rk_text"))
-    parts = F.split("text", ANY, -1)
-    pieces = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("news.new"), i), F.lit(""))))
-    columns = lambda n: [F.col(f"`{c}`") for c in docs.columns] + [n.cast("long").alias("n_pii")]
-    changed = both.withColumn("text", F.array_join(pieces, ""))
+    names = [(c, f"__{i}") for i, c in enumerate(docs.columns)]  # docs may have columns of any name
+    marked = docs.where(has).select(*[F.col(f"`{c}`").alias(n) for c, n in names], *[k.alias(f"__{n}") for k, n in zip(row_key(), ("id", "hash"), strict=True)])
+    both = marked.join(of, F.expr("__id <=> rk_id AND __hash = rk_text"))
+    text = dict(names)["text"]
+    pieces = bound(F.col("news.new"), lambda n: F.array_join(F.transform(F.split(text, ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(n, i), F.lit("")))), ""))
+    changed = both.withColumn(text, pieces)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*columns(F.size("news"))).unionAll(docs.where(~has).select(*columns(F.lit(0))))
+        changed = changed.withColumn(dict(names)["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    found = changed.select(*[F.col(n).alias(c) for c, n in names], F.size("news").cast("long").alias("n_pii"))
+    return found.unionAll(docs.where(~has).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_pii")))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat, decontam, gif, packing, pii, quality, secrets, simhash, substrings, urls
 
 
+#: The key of op7's query. It is public, so that the query's result is the same everywhere; a real run takes a secret of its own.
+QUERY_KEY = b"surrogates of the query"
+#: Schemas of the tools that op6's query knows.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string"}, "method": {"enum": ["GET", "HEAD"]}}, "required": ["url"]},
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -33,16 +43,16 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    hits = decontam.contaminated(docs, decontam.build(docs, _read(spark, sf_dir, "benchmark")))
+    hits = decontam.search(docs, _read(spark, sf_dir, "benchmark"))
     return hits.select(F.col("rk_id").alias("doc_id"), "item_id", "cosine", "in_sequence", "answered")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(_read(spark, sf_dir, "conversations"))
+    return chat.linked(_read(spark, sf_dir, "conversations"), TOOLS)
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), QUERY_KEY).select("doc_id", "text", "n_pii")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
