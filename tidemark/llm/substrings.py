@@ -69,15 +69,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.xxhash64(F.lit(1), text, "doc_id").alias("row2"), text.cast("binary").alias("text"))
 
 
-POSTED = ["row", "row2", "pos", "h", "h2"]
-
-
 def windows(rows: DataFrame, level: int, length: int = LENGTH, before: tuple[int, DataFrame] | None = None) -> DataFrame:
-    """row, row2, pos, h, h2 of a level's windows, for the full windows whose window of the level before repeats.
+    """row, pos, h of a level's windows, for the full windows whose window of the level before repeats; on the last level row2 and h2 as well.
 
-    before: that level, and its repeated windows (row, row2, at); none for the first. h2 is null but on the last level."""
-    old = before[0] if before else 0
-    both = rows if before is None else rows.join(before[1].hint("shuffle_hash"), ["row", "row2"]).select(*rows.columns, "at")
+    before: that level, and its repeated windows (row, at); none for the first. Rows that share `row` alone, and windows that
+    share h, only add candidates before the last level, which tells them apart."""
+    old, last = before[0] if before else 0, level == length
+    both = rows if before is None else rows.join(before[1].hint("shuffle_hash"), "row").select(*rows.columns, "at")
+    names = ["row", "pos", "h"] + ["row2", "h2"] * last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,27 +85,32 @@ def windows(rows: DataFrame, level: int, length: int = LENGTH, before: tuple[int
                 starts, at, docs_at, grams = _windows(words, counts, length, level)
                 if old:
                     alive = np.zeros(len(words) + 1, bool)
-                    for k, s in enumerate(docs_at):
-                        alive[s + np.asarray(kept[first + k], np.int64)] = True
+                    for k, (s, n) in enumerate(zip(docs_at, counts, strict=True)):
+                        own = np.asarray(kept[first + k], np.int64)
+                        alive[s + own[own < n]] = True
                     at = at[alive[_windows(words, counts, length, old)[1]]]
                 at = at[np.flatnonzero(np.diff(at, prepend=-1))]
                 if len(at):
                     row = np.searchsorted(docs_at, at, side="right") - 1
                     of = pa.array(row + first)
-                    more = pa.array(window_hashes(mix(words), level)[at].view(np.int64)) if level == length else pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(1).take(of), b.column(2).take(of), pa.array((at - docs_at[row]).astype(np.int32)), pa.array(grams[at].view(np.int64)), more], names=POSTED)
+                    columns = [b.column(1).take(of), pa.array((at - docs_at[row]).astype(np.int32)), pa.array(grams[at].view(np.int64))]
+                    if last:
+                        columns += [b.column(2).take(of), pa.array(window_hashes(mix(words), level)[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return both.mapInArrow(run, "row long, row2 long, pos int, h long, h2 long")
+    return both.mapInArrow(run, "row long, pos int, h long" + ", row2 long, h2 long" * last)
 
 
 def _repeated(posted: DataFrame) -> DataFrame:
-    """row, row2 and at (array of positions) of what is posted more than once."""
-    twice = posted.groupBy("h", "h2").count().where("count > 1").select("h", F.col("h2").alias("more"))
-    return posted.join(twice.withColumnRenamed("h", "hash"), F.expr("h = hash AND h2 <=> more"), "left_semi").groupBy("row", "row2").agg(F.collect_list("pos").alias("at"))
+    """row and at (array of positions, with row2 if there) of what is posted more than once."""
+    key = [c for c in posted.columns if c.startswith("h")]
+    twice = posted.groupBy(*key).count().where("count > 1").select(*key)
+    at = F.struct("row2", "pos") if "row2" in posted.columns else F.col("pos")
+    return posted.join(twice, key, "left_semi").groupBy("row").agg(F.collect_list(at).alias("at"))
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row, row2 and at: the starts of its repeated full windows, for each row that has any. Lengths and levels are parameters, so the plan has a step a level."""
+    """row and at (array<struct<row2, pos>>): the starts of its repeated full windows, for each row that has any. Lengths and levels are parameters, so the plan has a step a level."""
     before = None
     for level in levels(length):
         before = level, _repeated(windows(rows, level, length, before))
@@ -121,7 +125,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A repeated row makes its windows repeat. Null text: no words; an empty table: no rows; other columns are ignored.
     Windows and rows are told apart by 128 bits of hash."""
     rows = _rows(docs)
-    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), ["row", "row2"], "left").select("doc_id", "text", "at")
+    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), "row", "left").select("doc_id", "text", F.expr("transform(filter(at, x -> x.row2 = row2), x -> x.pos)").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
