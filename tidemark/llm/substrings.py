@@ -3,9 +3,9 @@
 The levels are windows of 9, 18 and 35 words: halves of the length until they are short. On a level below the last, the
 window of least hash inside each full window is posted (a minimiser: equal full windows take equal ones, so a full window
 can only repeat if this one does, and one position in a few is posted). What repeats alone goes on to twice the length, until
-no candidates survive or the length is reached, where the full windows themselves are posted, by 128 bits of hash. Counts
-are combined before the shuffle, and the joins back can be split where a window is common. The texts are shuffled once, by
-row, for the levels and the result alike.
+no candidates survive or the length is reached, where the full windows themselves are posted, by 88 bits of hash. What is
+posted is shuffled once, by the window: the same files are counted and joined back, both as streams of rows, so that a
+common window is never gathered. The texts are shuffled once, by row, for the levels and the result alike.
 """
 
 from __future__ import annotations
@@ -70,13 +70,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def windows(rows: DataFrame, level: int, length: int = LENGTH, before: tuple[int, DataFrame] | None = None) -> DataFrame:
-    """row, pos, h of a level's windows, for the full windows whose window of the level before repeats; on the last level row2 and h2 as well.
+    """row, h, x of a level's windows, for the full windows whose window of the level before repeats.
 
-    before: that level, and its repeated windows (row, at); none for the first. Rows that share `row` alone, and windows that
-    share h, only add candidates before the last level, which tells them apart."""
+    x holds the place in its low 32 bits and, on the last level, 24 more bits of the window's hash over 8 more of the row's.
+    before: the level before and its repeated windows (row, at); none for the first. Rows that share `row` alone, and windows
+    that share h, only add candidates before the last level, which tells them apart."""
     old, last = before[0] if before else 0, level == length
     both = rows if before is None else rows.join(before[1].hint("shuffle_hash"), "row").select(*rows.columns, "at")
-    names = ["row", "pos", "h"] + ["row2", "h2"] * last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,24 +93,29 @@ def windows(rows: DataFrame, level: int, length: int = LENGTH, before: tuple[int
                 if len(at):
                     row = np.searchsorted(docs_at, at, side="right") - 1
                     of = pa.array(row + first)
-                    columns = [b.column(1).take(of), pa.array((at - docs_at[row]).astype(np.int32)), pa.array(grams[at].view(np.int64))]
+                    x = at - docs_at[row]
                     if last:
-                        columns += [b.column(2).take(of), pa.array(window_hashes(mix(words), level)[at].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                        more = window_hashes(mix(words), level)[at] >> np.uint64(40) << np.uint64(40)
+                        x = x | more.view(np.int64) | (b.column(2).take(of).to_numpy() & 255) << 32
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(of), pa.array(grams[at].view(np.int64)), pa.array(x)], names=["row", "h", "x"])
 
-    return both.mapInArrow(run, "row long, pos int, h long" + ", row2 long, h2 long" * last)
+    return both.mapInArrow(run, "row long, h long, x long")
 
 
 def _repeated(posted: DataFrame) -> DataFrame:
-    """row and at (array of positions, with row2 if there) of what is posted more than once."""
-    key = [c for c in posted.columns if c.startswith("h")]
-    twice = posted.groupBy(*key).count().where("count > 1").select(*key)
-    at = F.struct("row2", "pos") if "row2" in posted.columns else F.col("pos")
-    return posted.join(twice, key, "left_semi").groupBy("row").agg(F.collect_list(at).alias("at"))
+    """row and at (array of x without the hash's bits) of what is posted more than once.
+
+    The condition names all columns, and h alone is the join's key, so that the rows counted and those joined are one shuffle's."""
+    whole = posted.where("row IS NOT NULL AND h IS NOT NULL AND shiftrightunsigned(x, 40) IS NOT NULL")  # as the joins infer for one of the two alone
+    dealt = whole.repartition("h").select("row", "h", "x", F.expr("shiftrightunsigned(x, 40)").alias("more"))
+    several = (F.col("n") > 1) | (F.col("r") != F.col("r0")) | (F.col("y") != F.col("y0"))
+    counted = dealt.groupBy("h", "more").agg(F.count("*").alias("n"), F.min("row").alias("r"), F.max("row").alias("r0"), F.min("x").alias("y"), F.max("x").alias("y0"))
+    twice = counted.where(several).select(F.col("h").alias("hash"), F.col("more").alias("other"))
+    return dealt.join(twice, F.expr("h = hash AND (more ^ other) = 0"), "left_semi").groupBy("row").agg(F.collect_list(F.expr(f"x & {(1 << 40) - 1}L")).alias("at"))
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row and at (array<struct<row2, pos>>): the starts of its repeated full windows, for each row that has any. Lengths and levels are parameters, so the plan has a step a level."""
+    """row and at (8 bits of row2, then 32 of the place): the starts of its repeated full windows, for each row that has any. Lengths and levels are parameters, so the plan has a step a level."""
     before = None
     for level in levels(length):
         before = level, _repeated(windows(rows, level, length, before))
@@ -123,9 +128,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Words stand between ASCII white space, unchanged. A word goes if any window of `length` consecutive words over it
     has its word sequence starting anywhere else too, in the same text or another; windows are judged on the input.
     A repeated row makes its windows repeat. Null text: no words; an empty table: no rows; other columns are ignored.
-    Windows and rows are told apart by 128 bits of hash."""
+    Windows are told apart by 88 bits of hash, rows by 72."""
     rows = _rows(docs)
-    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), "row", "left").select("doc_id", "text", F.expr("transform(filter(at, x -> x.row2 = row2), x -> x.pos)").alias("at"))
+    both = rows.join(repeated_windows(rows, length).hint("shuffle_hash"), "row", "left").select("doc_id", "text", F.expr(f"transform(filter(at, x -> shiftright(x, 32) = (row2 & 255)), x -> x & {(1 << 32) - 1}L)").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
