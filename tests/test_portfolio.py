@@ -194,3 +194,18 @@ def test_score_passes_missing_weights_on(spark):
     assert got["a"].score == pytest.approx(round((35 * 100 + 20 * 160 / 3 + 15 * 100 + 10 * 50 + 10 * 100) / 90, 1)) and got["b"].score == 25 and got["c"].score is None
     fallen = spark.createDataFrame([("d", -0.2, -0.1, 3.0)], "portfolio_id string, max_drawdown double, expected_drawdown double, calmar double")
     assert allocation.composite_score(fallen).first().drawdown == 5
+
+
+def test_stress_by_each_portfolios_own_calendar(spark):
+    """A portfolio's days don't depend on what others hold; gaps on the raw calendar give no return; weights are those that trade."""
+    day = lambda i: date(2020, 3, 2) + timedelta(days=i)
+    px = {"x": [100, 90, 95, 80, 85], "y": [10, 11, None, 12, 9], "z": [None, None, None, 5, 6]}
+    rows = [(a, day(i), float(v)) for a, p in px.items() for i, v in enumerate(p) if v]
+    w = spark.createDataFrame([("p", "x", 60.0, 0.6), ("p", "old", 40.0, 0.4), ("q", "x", 30.0, 0.5), ("q", "y", 30.0, 0.5), ("r", "z", 7.0, 1.0)], "portfolio_id string, asset string, value double, w double")
+    scenarios = [("crash", "2020-03-01", "2020-03-31", "A"), ("none", "1990-01-01", "1990-12-31", "B")]
+    got = {(r.scenario, r.portfolio_id): r for r in exposure.stress(spark.createDataFrame(rows, "asset string, d date, px double"), w, scenarios).collect()}
+    p, q, r = (got["crash", k] for k in "pqr")
+    assert p.n_days == 4 and p.cumulative_return == pytest.approx(0.85 - 1) and p.impact == pytest.approx(-9) and p.missing == 40
+    want = math.exp(0.5 * (math.log(0.9) + math.log(85 / 80)) + 0.5 * (math.log(1.1) + math.log(9 / 12))) - 1
+    assert q.n_days == 2 and q.cumulative_return == pytest.approx(want) and r.cumulative_return == pytest.approx(0.2)
+    assert got["none", "p"].cumulative_return is None and got["none", "p"].missing == 100

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf
-from tidemark.operators.panel import gated
+from tidemark.operators.panel import clean, gated
 
 #: Share of a day's volume that can be sold, days to redeem a fund, most points of a path.
 SOLD_SHARE, FUND_DAYS, MOST_POINTS = 0.25, 2.0, 300
@@ -66,6 +66,31 @@ def shock_grid(betas: DataFrame, values: DataFrame, shocks: list[tuple[str, str,
     return moved.select("portfolio_id", "scenario", "change", (F.col("change") * F.col("value")).alias("impact"))
 
 
+def stress(prices: DataFrame, weights: DataFrame, scenarios: list[tuple[str, str, str, str]]) -> DataFrame:
+    """scenario, region, portfolio_id, n_days, cumulative_return, impact, missing: what each portfolio's present positions returned in each scenario.
+
+    scenarios, (name, first day, last day, region), is a parameter and stands in the plan: the prices are read once, and a row
+    goes to each scenario that holds its day. Returns are those between neighbours on the raw calendar of the scenario, on
+    days when all of the portfolio's assets that trade in it have one; the weights are those of these assets alone. missing
+    is the value of the others. A scenario without data stays, with a null return and all value missing."""
+    each = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b"), F.lit(r).alias("region")) for n, a, b, r in scenarios])
+    inside = prices.select("asset", "d", "px", F.inline(F.filter(each, lambda s: F.col("d").between(s["a"], s["b"])))).drop("a", "b", "region")
+    days = inside.select("scenario", "d").distinct().withColumn("k", F.row_number().over(Window.partitionBy("scenario").orderBy("d")))
+    w = Window.partitionBy("scenario", "asset").orderBy("d")
+    ranked = clean(inside).join(days, ["scenario", "d"]).withColumns({"before": F.lag("px").over(w), "k0": F.lag("k").over(w)})
+    moved = ranked.where("k0 = k - 1").select("scenario", "asset", "d", F.log(F.col("px") / F.col("before")).alias("r"))
+    own = ["scenario", "portfolio_id"]
+    active = clean(inside).select("scenario", "asset").distinct().join(weights, "asset").select(*own, "asset", "value")
+    held = active.groupBy(*own).agg(F.count("*").alias("assets"), F.sum("value").alias("held"))
+    daily = moved.join(active, ["scenario", "asset"]).groupBy(*own, "d").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("r")).alias("r"))
+    whole = daily.join(held, own).where("n = assets AND held > 0").groupBy(*own, "held").agg(F.count("*").alias("n_days"), F.sum(F.col("r") / F.col("held")).alias("r"))
+    asked = weights.groupBy("portfolio_id").agg(F.sum("value").alias("value")).select("portfolio_id", "value", F.inline(each))
+    cum = F.expm1("r")
+    return asked.join(whole, own, "left").select(
+        "scenario", "region", "portfolio_id", F.coalesce("n_days", F.lit(0).cast("long")).alias("n_days"), cum.alias("cumulative_return"), (F.col("held") * cum).alias("impact"), (F.col("value") - F.coalesce("held", F.lit(0.0))).alias("missing")
+    )
+
+
 def beat_deposit(series: DataFrame, annual: float | None, horizon: int = 252, least: int = 120) -> DataFrame:
     """Odds of ending below a deposit's rate after the horizon, plain and widened by the Sharpe ratio's own error; null without a rate."""
     rate = F.log(1 + F.greatest(F.lit(annual).cast("double"), F.lit(-0.99))) / 252

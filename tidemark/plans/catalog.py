@@ -38,14 +38,8 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stress(spark: SparkSession, d: str) -> DataFrame:
-    """Each scenario's value-weighted cumulative return; a scenario without data stays, with nulls."""
-    prices, w, out = S.prices(spark, d), _weights(spark, d), None
-    for name, start, end, region in SCENARIOS:  # a fixed list of scenarios
-        moved = N.adjacent_returns(prices, start, end).groupBy("asset").agg(F.sum("r").alias("cum"), F.count("*").alias("n"))
-        part = w.join(moved, "asset", "left").groupBy("portfolio_id").agg(F.max("n").alias("n_days"), F.sum(F.when(F.col("cum").isNotNull(), F.col("value") * (F.exp("cum") - 1))).alias("impact"), F.sum(F.when(F.col("cum").isNull(), F.col("value")).otherwise(0.0)).alias("missing"))
-        part = part.select(F.lit(name).alias("scenario"), F.lit(region).alias("region"), "portfolio_id", F.coalesce("n_days", F.lit(0)).alias("n_days"), "impact", "missing")
-        out = part if out is None else out.unionAll(part)
-    return out
+    out = E.stress(S.prices(spark, d), _weights(spark, d), SCENARIOS)
+    return out.select("scenario", "region", "portfolio_id", "n_days", F.round("cumulative_return", 8).alias("cumulative_return"), *[F.round(c, 2).alias(c) for c in ("impact", "missing")])
 
 
 def _valuation(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +130,7 @@ def queries() -> dict:
         "q_attribution": lambda spark, d: _rounded(_attribution(spark, d), 4),
         "q_real": lambda spark, d: _rounded(A.real_returns(_series(spark, d), S.price_index(spark, d)), 6),
         "q_score": _score,
-        "q_stress": lambda spark, d: _rounded(_stress(spark, d), 2),
+        "q_stress": _stress,
         "q_valuation": lambda spark, d: _rounded(_valuation(spark, d), 4),
         "q_bond_metrics": lambda spark, d: _rounded(B.metrics(S.bonds(spark, d)).select("bond_id", "fair", "macaulay", "modified", "value", "dv01"), 6),
         "q_bond_summary": lambda spark, d: _rounded(B.summary(B.metrics(S.bonds(spark, d))), 4),
@@ -175,19 +169,18 @@ m AS (SELECT bond_id, sum(x) AS fair, sum(x * k / f) / sum(x) AS macaulay, sum(x
 
 
 def _stress_sql() -> str:
-    parts = []
-    for name, start, end, region in SCENARIOS:
-        parts.append(f"""
-SELECT '{name}' AS scenario, '{region}' AS region, portfolio_id, coalesce(max(n), 0)::BIGINT AS n_days, round(sum(CASE WHEN cum IS NOT NULL THEN value * (exp(cum) - 1) END), 2) AS impact,
-       round(sum(CASE WHEN cum IS NULL THEN value ELSE 0.0 END), 2) AS missing
-FROM weights LEFT JOIN (
-  SELECT asset, sum(r) AS cum, count(*) AS n FROM (
-    SELECT asset, d, r, count(*) OVER (PARTITION BY d) AS m FROM (
-      SELECT asset, d, k, ln(px / lag(px) OVER o) AS r, lag(k) OVER o AS k0 FROM (SELECT asset, d, px, dense_rank() OVER (ORDER BY d) AS k FROM prices WHERE d BETWEEN DATE '{start}' AND DATE '{end}') WINDOW o AS (PARTITION BY asset ORDER BY d)
-    ) WHERE k0 = k - 1
-  ) WHERE m = (SELECT count(DISTINCT asset) FROM good WHERE d BETWEEN DATE '{start}' AND DATE '{end}') GROUP BY asset
-) USING (asset) GROUP BY portfolio_id""")
-    return BASE + " UNION ALL ".join(parts)
+    rows = ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{r}')" for n, a, b, r in SCENARIOS)
+    return BASE.rstrip() + f""",
+scen(scenario, a, b, region) AS (VALUES {rows}),
+inside AS (SELECT scenario, asset, d, px, dense_rank() OVER (PARTITION BY scenario ORDER BY d) AS k FROM prices JOIN scen ON d BETWEEN a AND b),
+moved AS (SELECT * FROM (SELECT scenario, asset, d, k, ln(px / lag(px) OVER o) AS r, lag(k) OVER o AS k0 FROM inside WHERE px > 0 WINDOW o AS (PARTITION BY scenario, asset ORDER BY d)) WHERE k0 = k - 1),
+active AS (SELECT scenario, portfolio_id, asset, value / sum(value) OVER p AS share, sum(value) OVER p AS held, count(*) OVER p AS n FROM (SELECT DISTINCT scenario, asset FROM inside WHERE px > 0) JOIN weights USING (asset) WINDOW p AS (PARTITION BY scenario, portfolio_id)),
+days AS (SELECT scenario, portfolio_id, d, max(held) AS held, sum(share * r) AS r FROM moved JOIN active USING (scenario, asset) GROUP BY scenario, portfolio_id, d HAVING count(*) = max(n)),
+cum AS (SELECT scenario, portfolio_id, count(*) AS n_days, max(held) AS held, exp(sum(r)) - 1 AS c FROM days GROUP BY scenario, portfolio_id),
+total AS (SELECT portfolio_id, sum(value) AS value FROM weights GROUP BY portfolio_id)
+SELECT scenario, region, portfolio_id, coalesce(n_days, 0)::BIGINT AS n_days, round(c, 8) AS cumulative_return, round(held * c, 2) AS impact, round(value - coalesce(held, 0), 2) AS missing
+FROM scen CROSS JOIN total LEFT JOIN cum USING (scenario, portfolio_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
