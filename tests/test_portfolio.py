@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["q_hist_var", "q_es", "q_drawdown", "q_fhs", "q_stress", "q_bond_metrics", "q_srri", "q_backtest", "q_headline_var", "q_vol_regime", "q_beat_deposit", "q_fx_split", "q_liquidity", "q_shock_grid", "q_simulate", "q_lw_cov", "q_attribution", "q_real", "q_score"])
+@pytest.mark.parametrize("name", ["q_hist_var", "q_es", "q_drawdown", "q_fhs", "q_stress", "q_held_returns", "q_position_changes", "q_es_975", "q_bond_metrics", "q_srri", "q_backtest", "q_headline_var", "q_vol_regime", "q_beat_deposit", "q_fx_split", "q_liquidity", "q_shock_grid", "q_simulate", "q_lw_cov", "q_attribution", "q_real", "q_score"])
 def test_query_equals_sql(spark, duck, name):
     mine = catalog.queries()[name](spark, DATA)
     columns = sorted(mine.columns)
@@ -209,3 +209,14 @@ def test_stress_by_each_portfolios_own_calendar(spark):
     want = math.exp(0.5 * (math.log(0.9) + math.log(85 / 80)) + 0.5 * (math.log(1.1) + math.log(9 / 12))) - 1
     assert q.n_days == 2 and q.cumulative_return == pytest.approx(want) and r.cumulative_return == pytest.approx(0.2)
     assert got["none", "p"].cumulative_return is None and got["none", "p"].missing == 100
+
+
+def test_held_returns_of_disjoint_calendars(spark):
+    """A short-lived asset of one portfolio takes no day from another."""
+    day = lambda i: date(2020, 3, 2) + timedelta(days=i)
+    rows = [("long", day(i), 10.0 + i) for i in range(8)] + [("short", day(i), 5.0 + i) for i in (2, 5)] + [("late", day(i), 7.0) for i in (20, 21)]
+    own = spark.createDataFrame([("p", "long"), ("q", "long"), ("q", "short"), ("r", "late"), ("r", "unknown")], "portfolio_id string, asset string")
+    got = {}
+    for r in panel.held_returns(spark.createDataFrame(rows, "asset string, d date, px double"), own).collect():
+        got.setdefault((r.portfolio_id, r.asset), []).append(r.r)
+    assert len(got["p", "long"]) == 7 and got["q", "long"] == [pytest.approx(math.log(15 / 12))] and got["r", "late"] == [0.0]

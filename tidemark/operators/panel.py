@@ -20,6 +20,30 @@ def log_returns(prices: DataFrame) -> DataFrame:
     return good.join(full, "d").select("asset", "d", F.log(F.col("px") / F.lag("px").over(w)).alias("r")).where("r IS NOT NULL")
 
 
+def held_returns(prices: DataFrame, holdings: DataFrame) -> DataFrame:
+    """portfolio_id, asset, d, r on the dates on which all assets of the portfolio trade, whatever others hold.
+
+    An asset without any price counts for no portfolio; a return spans the dates left out. Prices are spread to the
+    portfolios that hold them, so the rows grow with the positions; all windows share the portfolio's partitioning."""
+    held = clean(prices).join(holdings.select("portfolio_id", "asset").distinct(), "asset")
+    assets = held.select("portfolio_id", "asset").distinct().groupBy("portfolio_id").agg(F.count("*").alias("n_assets"))
+    day = Window.partitionBy("portfolio_id", "d")
+    full = held.join(assets, "portfolio_id").withColumn("n", F.count("*").over(day)).where("n = n_assets")
+    w = Window.partitionBy("portfolio_id", "asset").orderBy("d")
+    return full.select("portfolio_id", "asset", "d", F.log(F.col("px") / F.lag("px").over(w)).alias("r")).where("r IS NOT NULL")
+
+
+def position_changes(prices: DataFrame, days: int = 7) -> DataFrame:
+    """asset, last, previous_change, period_change: the last price against the one before, and against that of so many calendar days before.
+
+    The price of a day without trade is the last one before it; null where there is no earlier row, or none so far back."""
+    good = clean(prices)
+    w = Window.partitionBy("asset").orderBy("d")
+    two = good.withColumn("before", F.lag("px").over(w)).groupBy("asset").agg(F.max_by(F.struct("px", "before"), "d").alias("l"), F.max("d").alias("d"))
+    past = two.select("asset", F.date_sub("d", days).alias("then")).join(good, "asset").where("d <= then").groupBy("asset").agg(F.max_by("px", "d").alias("past"))
+    return two.join(past, "asset", "left").select("asset", F.col("l.px").alias("last"), (F.col("l.px") / F.col("l.before") - 1).alias("previous_change"), (F.col("l.px") / F.col("past") - 1).alias("period_change"))
+
+
 def adjacent_returns(prices: DataFrame, start: str, end: str) -> DataFrame:
     """asset, d, r between neighbours on the window's raw calendar, on dates where all assets of the window have one."""
     inside = prices.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -21,6 +21,14 @@ FX, DIRECT, DEPOSIT = "1-URGENT", ["A"], 0.4
 SHOCKS = [("fall", "A", -0.2), ("fall", "N", -0.1), ("fall", "R", -0.1), ("rise", "A", 0.1), ("rise", "N", 0.15), ("elsewhere", "other", -0.3)]
 
 
+#: Holdings of the panel with gaps: assets by portfolio.
+HELD = {"ends": ["1-URGENT", "5-LOW"], "all": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "one": ["3-MEDIUM"]}
+
+
+def _held(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p, a) for p, own in HELD.items() for a in own], "portfolio_id string, asset string")
+
+
 def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
 
@@ -130,6 +138,9 @@ def queries() -> dict:
         "q_attribution": lambda spark, d: _rounded(_attribution(spark, d), 4),
         "q_real": lambda spark, d: _rounded(A.real_returns(_series(spark, d), S.price_index(spark, d)), 6),
         "q_score": _score,
+        "q_held_returns": lambda spark, d: _rounded(N.held_returns(S.sparse_prices(spark, d), _held(spark))),
+        "q_position_changes": lambda spark, d: _rounded(N.position_changes(S.sparse_prices(spark, d)), 6),
+        "q_es_975": series(lambda s: R.expected_shortfall(s, 0.975)),
         "q_stress": _stress,
         "q_valuation": lambda spark, d: _rounded(_valuation(spark, d), 4),
         "q_bond_metrics": lambda spark, d: _rounded(B.metrics(S.bonds(spark, d)).select("bond_id", "fair", "macaulay", "modified", "value", "dv01"), 6),
@@ -281,6 +292,18 @@ b AS (SELECT portfolio_id, wk, coalesce(r, 0) AS r, row_number() OVER (PARTITION
 SELECT portfolio_id, weeks, round(vol, 6) AS volatility, CAST(1 + (vol >= 0.005)::INT + (vol >= 0.02)::INT + (vol >= 0.05)::INT + (vol >= 0.1)::INT + (vol >= 0.15)::INT + (vol >= 0.25)::INT AS BIGINT) AS srri FROM v""",
         "q_concentration_hhi": BASE + "SELECT portfolio_id, round(sum(w * w), 8) AS hhi, round(1 / sum(w * w), 8) AS effective_positions FROM weights GROUP BY 1",
         "q_beta_1f": BASE + ", f AS (SELECT d, avg(r) AS f FROM returns GROUP BY 1) SELECT asset, count(*) AS n, round(regr_slope(r, f), 6) AS beta, round(regr_r2(r, f), 6) AS r2 FROM returns JOIN f USING (d) GROUP BY 1",
+        "q_held_returns": f"""
+WITH px AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) AS px FROM orders GROUP BY 1, 2),
+own(portfolio_id, asset) AS (VALUES {", ".join(f"('{p}', '{a}')" for p, own in HELD.items() for a in own)}),
+held AS (SELECT portfolio_id, asset, d, px FROM px JOIN own USING (asset) WHERE px > 0),
+days AS (SELECT portfolio_id, d FROM held h GROUP BY portfolio_id, d HAVING count(*) = (SELECT count(DISTINCT asset) FROM held x WHERE x.portfolio_id = h.portfolio_id))
+SELECT portfolio_id, asset, d, round(r, 8) AS r FROM (SELECT portfolio_id, asset, d, ln(px / lag(px) OVER (PARTITION BY portfolio_id, asset ORDER BY d)) AS r FROM held JOIN days USING (portfolio_id, d)) WHERE r IS NOT NULL""",
+        "q_position_changes": """
+WITH px AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) AS px FROM orders GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY d DESC) AS back FROM px WHERE px > 0),
+ends AS (SELECT asset, max(d) AS d, max(CASE WHEN back = 1 THEN px END) AS last, max(CASE WHEN back = 2 THEN px END) AS before FROM ranked GROUP BY asset)
+SELECT asset, round(last, 6) AS last, round(last / before - 1, 6) AS previous_change, round(last / (SELECT max_by(px, p.d) FROM px p WHERE p.asset = e.asset AND p.d <= e.d - 7) - 1, 6) AS period_change FROM ends e""",
+        "q_es_975": BASE + ", cut AS (SELECT portfolio_id, count(r) AS n, quantile_cont(r, 1 - 0.975::DOUBLE) AS var FROM series GROUP BY 1) SELECT portfolio_id, n, CASE WHEN n >= 60 THEN round(var, 8) END AS var, CASE WHEN n >= 60 THEN round(avg(CASE WHEN r <= var THEN r END), 8) END AS es FROM series JOIN cut USING (portfolio_id) GROUP BY portfolio_id, n, var",
         "q_stress": _stress_sql(),
         "q_valuation": BASE + "SELECT portfolio_id, asset, round(quantity, 4) AS quantity, round(value, 4) AS value, round(quantity * first, 4) AS cost_total, round(value - quantity * first, 4) AS pnl, round((value - quantity * first) / (quantity * first), 4) AS pnl_share FROM holdings JOIN weights USING (portfolio_id, asset) JOIN last_px USING (asset)",
         "q_bond_metrics": BONDS + "SELECT bond_id, round(fair, 6) AS fair, round(macaulay, 6) AS macaulay, round(modified, 6) AS modified, round(value, 6) AS value, round(modified * value * 1e-4, 6) AS dv01 FROM m",
