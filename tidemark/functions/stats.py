@@ -35,8 +35,3 @@ def chi2_1_p(lr: Column) -> Column:
 
 def safe_ln(x: Column) -> Column:
     return F.log(F.greatest(x, F.lit(1e-12)))
-
-
-def bump_null(condition: Column, value: Column) -> Column:
-    """The value where the condition holds, else null: the contract for too little data."""
-    return F.when(condition, value)

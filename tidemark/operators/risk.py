@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import norm_cdf
 from tidemark.operators.panel import gated
 
+#: The volatility bounds of the risk classes; the decay of the volatility and the rows that it starts from.
 BANDS = [0.005, 0.02, 0.05, 0.10, 0.15, 0.25]
 LAMBDA, SEED_ROWS = 0.94, 30
 
@@ -122,7 +123,7 @@ def evt_tail(series: DataFrame, share: float = 0.95, target: float = 0.995, leas
     gap = F.col("a0") - 2 * F.col("a1")
     a = a.withColumn("xi", F.when(gap > 0, 2 - F.col("a0") / gap)).withColumn("beta", F.when(gap > 0, 2 * F.col("a0") * F.col("a1") / gap))
     ratio = F.col("n") / F.col("k") * (1 - target)
-    var = F.col("u") + F.when(F.abs("xi") > 1e-9, F.col("beta") / F.col("xi") * (F.pow(ratio, -F.col("xi")) - 1)).otherwise(-F.col("beta") * F.log(ratio))
+    var = F.col("u") + F.when(F.abs("xi") > 1e-6, F.col("beta") / F.col("xi") * (F.pow(ratio, -F.col("xi")) - 1)).otherwise(-F.col("beta") * F.log(ratio))
     ok = (F.col("n") >= least) & (F.col("k") >= 30) & (F.col("xi") < 0.95) & (F.col("beta") > 0)
     a = a.withColumn("v", F.when(ok, var))
     es = (F.col("v") + F.col("beta") - F.col("xi") * F.col("u")) / (1 - F.col("xi"))
