@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,14 @@ def filtered_historical(path: DataFrame, confidence: float = 0.99, least: int =
     return both.select("portfolio_id", "n", g(F.col("today")).alias("sigma_today"), g(F.col("q") * F.col("today")).alias("var_fhs"), g(F.col("zm") * F.col("today")).alias("es_fhs"))
 
 
+def parametric(path: DataFrame, confidence: float = 0.99, least: int = 120) -> DataFrame:
+    """portfolio_id, var_ewma, es_ewma: VaR and shortfall of a normal variable with the volatility of the next day."""
+    normal, p = NormalDist(), 1 - confidence
+    z = normal.inv_cdf(p)
+    g = lambda c: gated(F.col("n"), least, c * F.col("sigma_next"))
+    return next_sigma(path).select("portfolio_id", g(F.lit(z)).alias("var_ewma"), g(F.lit(-normal.pdf(z) / p)).alias("es_ewma"))
+
+
 def evt_tail(series: DataFrame, share: float = 0.95, target: float = 0.995, least: int = 500) -> DataFrame:
     """Generalised Pareto tail by probability-weighted moments of the losses over their quantile."""
     u = series.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.percentile(-F.col("r"), share).alias("u"))
@@ -139,6 +148,21 @@ def tail_dependence(returns: DataFrame, q: float = 0.05) -> DataFrame:
     return both.select("a", "b", "both", (F.col("both") / (q * F.col("n"))).alias("tail_lambda"))
 
 
+def tail_pairs(returns: DataFrame, q: float = 0.05, least: int = 300, first: int = 5) -> DataFrame:
+    """a, b, co_exceedances, tail_lambda, pearson, tail_obs, expected_co: the pairs of assets that fall together most often, none left out.
+
+    Pairs with no common tail day count as 0; ties go by name. Fewer than `least` days: no rows. Returns are aligned, so a
+    day joins the pairs of its assets once, and sums combine before the shuffle by pair."""
+    cut = returns.groupBy("asset").agg(F.percentile("r", q).alias("cut"), F.count("*").alias("n"))
+    marked = returns.join(cut.where(F.col("n") >= least), "asset").select("asset", "d", "r", "n", (F.col("r") <= F.col("cut")).alias("low"))
+    x, y = marked.alias("x"), marked.alias("y")
+    pairs = x.join(y, F.expr("x.d = y.d AND x.asset < y.asset")).groupBy(F.col("x.asset").alias("a"), F.col("y.asset").alias("b"))
+    m = pairs.agg(F.count_if(F.col("x.low") & F.col("y.low")).alias("both"), F.corr("x.r", "y.r").alias("pearson"), F.max("x.n").alias("n"))
+    size = F.col("n") * q
+    out = m.select("a", "b", F.col("both").alias("co_exceedances"), (F.col("both") / size).alias("tail_lambda"), "pearson", F.floor(size).alias("tail_obs"), F.bround(q * F.floor(size), 1).alias("expected_co"))
+    return out.orderBy(F.desc("tail_lambda"), "a", "b").limit(first)
+
+
 def srri(series: DataFrame) -> DataFrame:
     """Risk class 1 to 7 by the volatility of weekly returns over five years; weeks without trades count as 0."""
     weekly = series.groupBy("portfolio_id", F.date_trunc("week", "d").cast("date").alias("week")).agg(F.sum("r").alias("r"))
