@@ -164,7 +164,7 @@ def queries() -> dict:
     rounded = lambda f, digits=6: lambda spark, d: C._rounded(f(spark, d), digits)
     series = lambda f, digits=8: lambda spark, d: C._rounded(f(C._series(spark, d)), digits)
     return {
-        "q_local_prices": rounded(_local, 8),
+        "q_local_prices": rounded(_local, 6),
         "q_full_valuation": rounded(_valued, 4),
         "q_valuation_totals": rounded(lambda spark, d: V.totals(_valued(spark, d)), 2),
         "q_valuation_json": lambda spark, d: V.documents(_market(spark, d)),
@@ -237,7 +237,7 @@ max(CASE WHEN a = 'A' AND b = 'N' THEN c END) AS can, max(CASE WHEN a = 'A' AND
     r = lambda *names, n=6: ", ".join(f"round({x}, {n}) AS {x}" for x in names)
     money = lambda c: f"CAST(CAST(round({c}, 2) AS DECIMAL(30,2)) AS VARCHAR)"
     return {
-        "q_local_prices": local + " SELECT name, d, round(px, 8) AS px, round(native, 8) AS native FROM local",
+        "q_local_prices": local + " SELECT name, d, round(px, 6) AS px, round(native, 6) AS native FROM local",
         "q_full_valuation": both + f" SELECT portfolio_id, name, kind, currency, failed, {r('value', 'cost_total', 'pnl', 'pnl_pct', 'local_value', 'local_pnl', 'fair', 'macaulay', 'modified', 'ytm', n=4)} FROM valued",
         "q_valuation_totals": both + """ SELECT portfolio_id, round(sum(local_value), 2) AS total, round(sum(CASE WHEN kind = 'market' THEN local_value END), 2) AS market, round(sum(CASE WHEN kind = 'bond' THEN local_value END), 2) AS bonds, round(sum(local_pnl), 2) AS pnl,
 string_agg(CASE WHEN failed THEN name END, ',' ORDER BY name) AS failed, round(avg(CASE WHEN failed THEN 0.0 ELSE 1.0 END), 2) AS coverage, round(sum(modified * local_value) / sum(CASE WHEN kind = 'bond' THEN local_value END), 2) AS duration,
