@@ -27,7 +27,7 @@ SHOCKS = [("devaluation", "1-URGENT", 0.3), ("devaluation", "5-LOW", -0.1), ("ca
 
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
-    return S.sparse_prices(spark, d).withColumn("px", F.col("px") / 1000)
+    return S.sparse_prices(spark, d).withColumn("px", F.col("px") / 7000)
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
     o, c = S.table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_totalprice"), S.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     name = F.col("o_orderpriority").alias("name")
     sums = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("portfolio_id"), name)
-    held = sums.agg(F.count("*").cast("double").alias("quantity"), (F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*") / 1000).alias("cost"))
+    held = sums.agg(F.count("*").cast("double").alias("quantity"), (F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*") / 7000).alias("cost"))
     none = c.select(F.col("c_mktsegment").alias("portfolio_id"), F.lit("unquoted").alias("name"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("cost")).distinct()
     source = F.when(F.col("name") == GOLD, "gram").when(F.col("name").startswith("4"), "fund").otherwise("quote")
     rows = held.unionByName(none).withColumn("ticker", F.col("name")).withColumn("source", source)
@@ -169,7 +169,7 @@ def queries() -> dict:
         "q_valuation_totals": rounded(lambda spark, d: V.totals(_valued(spark, d)), 2),
         "q_valuation_json": lambda spark, d: V.documents(_market(spark, d)),
         "q_accepted": rounded(lambda spark, d: V.accepted(_positions(spark, d)).groupBy("portfolio_id", "problem").agg(F.count("*").alias("n"))),
-        "q_value_series": rounded(_values, 2),
+        "q_value_series": rounded(_values, 4),
         "q_period_stats": rounded(lambda spark, d: P.period_stats(_values(spark, d))),
         "q_observations": rounded(lambda spark, d: I.observations(_documents(spark, d), "V")),
         "q_latest_rates": rounded(lambda spark, d: I.latest_rates(_rates(spark, d))),
@@ -195,8 +195,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    quotes = """quotes AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 1000 AS px FROM orders GROUP BY 1, 2)"""
-    positions = """pos AS (SELECT c_mktsegment AS portfolio_id, o_orderpriority AS name, count(*)::DOUBLE AS quantity, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 1000 END AS cost
+    quotes = """quotes AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 7000 AS px FROM orders GROUP BY 1, 2)"""
+    positions = """pos AS (SELECT c_mktsegment AS portfolio_id, o_orderpriority AS name, count(*)::DOUBLE AS quantity, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 7000 END AS cost
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 UNION ALL SELECT DISTINCT c_mktsegment, 'unquoted', 1.0::DOUBLE, 1.0::DOUBLE FROM customer)"""
     local = f"""WITH {quotes}, {positions},
 rate AS (SELECT d, last_value(x IGNORE NULLS) OVER (ORDER BY d) AS rate FROM (SELECT d, max(CASE WHEN asset = '{FX}' THEN px END) AS x FROM quotes GROUP BY d)),
@@ -245,7 +245,7 @@ round(sum(modified * local_value) * 1e-4, 2) AS dv01, round(sum(modified * local
         "q_valuation_json": local + f""", rows AS (SELECT portfolio_id, name, failed, '{{"name":"' || name || '","kind":"' || kind || '","currency":"' || currency || '","value":"' || {money('value')} || '","local_value":"' || {money('local_value')} || '","local_pnl":' || coalesce('"' || {money('local_pnl')} || '"', 'null') || '}}' AS j FROM market)
 SELECT portfolio_id, '{{"portfolio_id":"' || portfolio_id || '","valuation":[' || string_agg(j, ',' ORDER BY name) || '],"failed_assets":["' || string_agg(CASE WHEN failed THEN name END, '","' ORDER BY name) || '"]}}' AS document FROM rows GROUP BY 1""",
         "q_accepted": f"WITH {positions}, p AS (SELECT portfolio_id, CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'quantity' WHEN cost < 0 THEN 'cost' WHEN count(*) OVER (PARTITION BY portfolio_id) > 50 THEN 'count' END AS problem FROM pos) SELECT portfolio_id, problem, count(*) AS n FROM p GROUP BY 1, 2",
-        "q_value_series": values + " SELECT portfolio_id, d, round(value, 2) AS value FROM vs",
+        "q_value_series": values + " SELECT portfolio_id, d, round(value, 4) AS value FROM vs",
         "q_period_stats": values + f""", cal AS (SELECT portfolio_id, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM vs GROUP BY 1), daily AS (SELECT portfolio_id, d, last_value(value IGNORE NULLS) OVER (PARTITION BY portfolio_id ORDER BY d) AS value FROM cal LEFT JOIN vs USING (portfolio_id, d)),
 moves AS (SELECT * FROM ({moves}) WHERE ret IS NOT NULL), ends AS (SELECT *, arg_max(ret, d) OVER p AS cur, max(d) OVER p AS e FROM moves WINDOW p AS (PARTITION BY portfolio_id, period)),
 st AS (SELECT portfolio_id, period, max(step) AS step, max(cur) AS ret, count(*) FILTER (d < e) AS k, avg((ret < cur)::INT) FILTER (d < e) AS below FROM ends GROUP BY 1, 2),
