@@ -27,7 +27,7 @@ SHOCKS = [("devaluation", "1-URGENT", 0.3), ("devaluation", "5-LOW", -0.1), ("ca
 
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
-    return S.sparse_prices(spark, d).withColumn("px", F.col("px") / 7000)
+    return S.sparse_prices(spark, d).withColumn("px", F.col("px") / 99991)
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
     o, c = S.table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_totalprice"), S.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     name = F.col("o_orderpriority").alias("name")
     sums = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("portfolio_id"), name)
-    held = sums.agg(F.count("*").cast("double").alias("quantity"), (F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*") / 7000).alias("cost"))
+    held = sums.agg(F.count("*").cast("double").alias("quantity"), (F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*") / 99991).alias("cost"))
     none = c.select(F.col("c_mktsegment").alias("portfolio_id"), F.lit("unquoted").alias("name"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("cost")).distinct()
     source = F.when(F.col("name") == GOLD, "gram").when(F.col("name").startswith("4"), "fund").otherwise("quote")
     rows = held.unionByName(none).withColumn("ticker", F.col("name")).withColumn("source", source)
@@ -195,8 +195,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    quotes = """quotes AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 7000 AS px FROM orders GROUP BY 1, 2)"""
-    positions = """pos AS (SELECT c_mktsegment AS portfolio_id, o_orderpriority AS name, count(*)::DOUBLE AS quantity, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 7000 END AS cost
+    quotes = """quotes AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 99991 AS px FROM orders GROUP BY 1, 2)"""
+    positions = """pos AS (SELECT c_mktsegment AS portfolio_id, o_orderpriority AS name, count(*)::DOUBLE AS quantity, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 99991 END AS cost
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 UNION ALL SELECT DISTINCT c_mktsegment, 'unquoted', 1.0::DOUBLE, 1.0::DOUBLE FROM customer)"""
     local = f"""WITH {quotes}, {positions},
 rate AS (SELECT d, last_value(x IGNORE NULLS) OVER (ORDER BY d) AS rate FROM (SELECT d, max(CASE WHEN asset = '{FX}' THEN px END) AS x FROM quotes GROUP BY d)),
