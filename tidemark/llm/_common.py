@@ -93,14 +93,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def hash_words(texts: list[bytes], lower: bool = False):
-    """Words (split at ASCII white space) of several texts at once.
+def hash_words(texts: list[bytes], lower: bool = False, white: np.ndarray = _IS_WHITE):
+    """Words (split at ASCII white space, or at the bytes that `white` marks, a line feed among them) of several texts at once.
 
     Returns (hashes uint64 of all words in order, words per text, buffer, word starts, word ends)."""
     buf = b"\n" + b"\n".join(texts) + b"\n"
     raw = np.frombuffer(buf, np.uint8)
-    white = _IS_WHITE[raw]
-    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    apart = white[raw]
+    edges = np.flatnonzero(apart[1:] != apart[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, first))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, gif, packing, pii, quality, secrets, simhash, substrings, urls
+from tidemark.llm import bitslice, chat, decontam, gif, packing, pii, quality, secrets, simhash, substrings, urls
 
 
 #: The key of op7's query. It is public, so that the query's result is the same everywhere; a real run takes a secret of its own.
@@ -70,8 +70,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_urls, op4_substrings, op5_decontamination, op6_chat, op7_surrogates, op8_secrets, op9_gif, op10_simhash)}
+    ops = (op1_packing, op2_quality, op3_urls, op4_substrings, op5_decontamination, op6_chat, op7_surrogates, op8_secrets, op9_gif, op10_simhash, op11_search)
+    return {f.__name__: f for f in ops}
 
 
 OP4_SQL = r"""
@@ -91,7 +96,21 @@ SELECT conv_id, turn, role, turn AS after_turn, 0::INTEGER AS level, 0::BIGINT A
 FROM conversations
 """
 
+OP11_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sized AS (SELECT doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+stats AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sized),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+each AS (SELECT doc_id, unnest(w) AS t FROM words),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM each WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), stats),
+impact AS (SELECT tf.doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))) AS x FROM tf JOIN weight USING (t) JOIN sized USING (doc_id), stats),
+scored AS (SELECT item_id, doc_id, sum(x)::BIGINT AS score FROM asked JOIN impact USING (t) GROUP BY item_id, doc_id HAVING sum(x) > 0),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that DuckDB can express; op6's holds for tables without tool calls, as the synthetic one is."""
-    return {"op4_substrings": OP4_SQL, "op6_chat": OP6_SQL}
+    return {"op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op11_search": OP11_SQL}
