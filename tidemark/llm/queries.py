@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, chat, decontam, gif, packing, pii, quality, secrets, simhash, substrings, urls
+from tidemark.llm import bitslice, chat, collocations, decontam, gif, packing, pii, quality, secrets, simhash, substrings, urls
 
 
 #: The key of op7's query. It is public, so that the query's result is the same everywhere; a real run takes a secret of its own.
@@ -74,8 +74,12 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    ops = (op1_packing, op2_quality, op3_urls, op4_substrings, op5_decontamination, op6_chat, op7_surrogates, op8_secrets, op9_gif, op10_simhash, op11_search)
+    ops = (op1_packing, op2_quality, op3_urls, op4_substrings, op5_decontamination, op6_chat, op7_surrogates, op8_secrets, op9_gif, op10_simhash, op11_search, op12_collocations)
     return {f.__name__: f for f in ops}
 
 
@@ -110,7 +114,26 @@ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, k, count(*)::BIGINT AS f FROM grams GROUP BY lang, phrase, k HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS k FROM f WHERE k > 1),
+scored AS (SELECT c.lang, c.phrase, c.w, a, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f), c.k) AS place
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored WHERE place = 1),
+sized AS (SELECT lang, w, a, unnest(range(2, len(w))) AS j FROM best WHERE len(w) > 2),
+placed AS (SELECT lang, w, a, j, unnest(range(1, len(w) - j + 2)) AS i FROM sized),
+inner_ AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS longer FROM placed GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that DuckDB can express; op6's holds for tables without tool calls, as the synthetic one is."""
-    return {"op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op11_search": OP11_SQL}
+    return {"op4_substrings": OP4_SQL, "op6_chat": OP6_SQL, "op11_search": OP11_SQL, "op12_collocations": OP12_SQL}
