@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, chat, collocations, decontam, gif, packing, pii, quality, secrets, simhash, substrings, urls
+from tidemark.llm import bitslice, chat, collocations, decontam, gif, packing, pii, quality, scoring, secrets, simhash, substrings, urls
 
 
 #: The key of op7's query. It is public, so that the query's result is the same everywhere; a real run takes a secret of its own.
@@ -78,8 +78,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents"))
 
 
+def op13_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    ops = (op1_packing, op2_quality, op3_urls, op4_substrings, op5_decontamination, op6_chat, op7_surrogates, op8_secrets, op9_gif, op10_simhash, op11_search, op12_collocations)
+    ops = (op1_packing, op2_quality, op3_urls, op4_substrings, op5_decontamination, op6_chat, op7_surrogates, op8_secrets, op9_gif, op10_simhash, op11_search, op12_collocations, op13_scoring)
     return {f.__name__: f for f in ops}
 
 
