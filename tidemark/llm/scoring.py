@@ -25,7 +25,7 @@ from tidemark.llm._common import chunks_of, hash_words, mix
 #: Bytes of text in a block and distinct n-grams in a bucket, about; parts of the documents, and the one that isn't learned from.
 BLOCK_BYTES, BUCKET, FOLDS, HELD_OUT = 1 << 24, 1 << 21, 7, 2
 #: K for histories of one word, two words, and so on; their number is the model's order less one.
-STRENGTHS = (40.0, 8.0)
+STRENGTHS = (1000.0, 20.0)
 
 _U = np.uint64
 _STEP, _DROP = _U(0x9E3779B97F4A7C15), _U(8)
