@@ -6,8 +6,8 @@ arc that bears the whole probability of its last word, and a failure arc to the
 so that following failures until an arc fits gives the model's probability of any word.
 
 No task holds the model. Texts are dealt into blocks by hash. Each block sends its distinct n-grams with its own training
-counts to buckets by the n-gram's hash, where all blocks' counts are summed; back comes only what differs from the block's
-own count. The block then has the counts of every n-gram in its texts, builds the part of the automaton that they can reach,
+counts to buckets by the n-gram's hash, where all blocks' counts are summed; back comes, in the block's own order, what the
+other blocks add to each count. The block then has the counts of every n-gram in its texts, builds the part of the automaton that they can reach,
 and scores them in one traversal from left to right, all texts of the block at once, each carrying its state. The blocks'
 texts are one shuffle, read twice. N-grams go as sorted hashes of 56 bits, as differences in byte planes.
 """
@@ -72,13 +72,13 @@ class Block:
         own[self.starts] = own[self.ends - 1] = False
         tokens[own] = np.concatenate([np.zeros(0, _U), *words])
         tokens[self.starts], tokens[self.ends - 1] = BEGIN, END
-        place = np.arange(len(tokens)) - np.repeat(self.starts, n)
+        place = (np.arange(len(tokens)) - np.repeat(self.starts, n)).astype(np.int32)
         self.grams, self.inside = {}, {}
         chain = tokens
         for o in range(1, order + 1):
             if o > 1:
                 chain = np.concatenate([chain[:1], mix(chain[:-1] * _STEP + tokens[1:])])
-            self.grams[o], self.inside[o] = chain >> _DROP, np.flatnonzero(place >= o - 1)
+            self.grams[o], self.inside[o] = chain >> _DROP, np.flatnonzero(place >= o - 1).astype(np.int32)
 
     def learned(self, held_out: np.ndarray) -> np.ndarray:
         """1 at the places of texts that are learned from."""
@@ -101,7 +101,7 @@ class Automaton:
 
     def __init__(self, block: Block, keys: dict, totals: dict, n_tokens: int, n_words: int, strengths: tuple[float, ...]):
         order = len(strengths) + 1
-        ids = {o: np.full(len(block.grams[1]), -1) for o in keys}
+        ids = {o: np.full(len(block.grams[1]), -1, np.int32) for o in keys}
         for o in keys:
             ids[o][block.inside[o]] = np.searchsorted(keys[o], block.grams[o][block.inside[o]])
         self.tokens, self.width = ids[1], max(1, len(keys[1]))
@@ -114,14 +114,14 @@ class Automaton:
             k = strengths[o - 1]
             self.fail.append(shorter_to)
             self.weight.append(np.log10(k / (totals[o] + k)))
-            place = np.zeros(len(keys[o + 1]), np.int64)
+            place = np.zeros(len(keys[o + 1]), np.int32)
             place[ids[o + 1][block.inside[o + 1]]] = block.inside[o + 1]  # any place at which the n-gram ends
             seen = totals[o + 1] > 0
             history, shorter = ids[o][place - 1], ids[o][place]
             p = (totals[o + 1] + k * p[shorter]) / (totals[o][history] + k) if len(place) else np.zeros(0)
             to = np.where(totals[o][shorter] > 0, offset + shorter, 0) if len(place) else place
             after = offset + len(keys[o]) + np.arange(len(keys[o + 1])) if o + 1 < order else to
-            arcs.append((((offset + history) * self.width + self.tokens[place])[seen], np.log10(p)[seen], after[seen]))
+            arcs.append((((offset + history.astype(np.int64)) * self.width + self.tokens[place])[seen], np.log10(p)[seen], after[seen]))
             offset, shorter_to = offset + len(keys[o]), to
         self.fail, self.weight = np.concatenate(self.fail), np.concatenate(self.weight)
         arc, logp, to = (np.concatenate(x) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int64),) * 3
@@ -214,13 +214,11 @@ def score(docs: DataFrame, strengths: tuple[float, ...] = STRENGTHS, block_bytes
                 is_word = unique != BEGIN >> _DROP
                 tokens, words = int(sums[is_word].sum()), int((sums[is_word] > 0).sum())
             for block, k, c in zip(own["block"].to_pylist(), keys, counts, strict=True):
-                now = sums[np.searchsorted(unique, k)]
-                other = now != c
-                if o == 1 or other.any():
-                    out.append((block, o, pack_sorted(k[other]), pack(now[other]), tokens if o == 1 else 0, words if o == 1 else 0))
+                others = sums[np.searchsorted(unique, k)] - c
+                out.append((block, t["bucket"][0].as_py(), o, pack(others), tokens if o == 1 else 0, words if o == 1 else 0))
         cols = list(zip(*out, strict=True))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "n", "grams", "counts", "tokens", "words"), cols, kinds, strict=True)})
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "bucket", "n", "others", "tokens", "words"), cols, kinds, strict=True)})
 
     def judge(t: pa.Table, sums: pa.Table) -> pa.Table:
         texts = Block(t["text"].to_pylist(), order)
@@ -228,10 +226,8 @@ def score(docs: DataFrame, strengths: tuple[float, ...] = STRENGTHS, block_bytes
         keys, totals = {}, {}
         for o in range(1, order + 1):
             keys[o], counts = own_counts(texts, o, learned)
-            totals[o] = counts.astype(np.int64)
-            own = sums.filter(pc.equal(sums["n"], o))
-            for k, c in zip(own["grams"].to_pylist(), own["counts"].to_pylist(), strict=True):
-                totals[o][np.searchsorted(keys[o], unpack_sorted(k))] = unpack(c).astype(np.int64)
+            own = sums.filter(pc.equal(sums["n"], o)).sort_by("bucket")  # the buckets are ranges of the hashes
+            totals[o] = (counts + np.concatenate([counts[:0], *map(unpack, own["others"].to_pylist())])).astype(np.int64)
         n, words = (pc.sum(sums[c]).as_py() or 0 for c in ("tokens", "words"))
         machine = Automaton(texts, keys, totals, n, words, strengths)
         token = np.ones(len(machine.tokens), bool)
@@ -244,6 +240,6 @@ def score(docs: DataFrame, strengths: tuple[float, ...] = STRENGTHS, block_bytes
 
     by_block = rows.groupBy("block")
     asked = by_block.applyInArrow(count, "block int, bucket int, n int, grams binary, counts binary")
-    sums = asked.groupBy("bucket").applyInArrow(total, "block int, n int, grams binary, counts binary, tokens long, words long")
+    sums = asked.groupBy("bucket").applyInArrow(total, "block int, bucket int, n int, others binary, tokens long, words long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_block.cogroup(sums.groupBy("block")).applyInArrow(judge, schema)
