@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import chunks_of, hash_words, mix
 
 #: Bytes of text in a block and distinct n-grams in a bucket, about; parts of the documents, and the one that isn't learned from.
-BLOCK_BYTES, BUCKET, FOLDS, HELD_OUT = 1 << 24, 1 << 21, 7, 2
+BLOCK_BYTES, BUCKET, FOLDS, HELD_OUT = 1 << 23, 1 << 20, 7, 2
 #: K for histories of one word, two words, and so on; their number is the model's order less one.
 STRENGTHS = (1000.0, 20.0)
 
@@ -82,13 +82,16 @@ class Block:
 
     def learned(self, held_out: np.ndarray) -> np.ndarray:
         """1 at the places of texts that are learned from."""
-        return np.repeat(~held_out, self.sizes).astype(_U)
+        return np.repeat(~held_out, self.sizes).astype(np.uint8)
 
 
 def own_counts(block: Block, order: int, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a block, sorted, with how often they occur in texts that are learned from."""
     at = block.inside[order]
-    both = np.sort(block.grams[order][at] << _U(1) | learned[at])
+    both = block.grams[order][at]
+    both <<= _U(1)
+    both |= learned[at]
+    both.sort()
     keys = both >> _U(1)
     first = np.flatnonzero(np.diff(keys, prepend=~_U(0)))
     return keys[first], np.add.reduceat(both & _U(1), first) if len(first) else keys
@@ -101,9 +104,9 @@ class Automaton:
 
     def __init__(self, block: Block, keys: dict, totals: dict, n_tokens: int, n_words: int, strengths: tuple[float, ...]):
         order = len(strengths) + 1
-        ids = {o: np.full(len(block.grams[1]), -1, np.int32) for o in keys}
+        ids = {o: np.full(int(block.sizes.sum()), -1, np.int32) for o in keys}
         for o in keys:
-            ids[o][block.inside[o]] = np.searchsorted(keys[o], block.grams[o][block.inside[o]])
+            ids[o][block.inside[o]] = np.searchsorted(keys[o], block.grams.pop(o)[block.inside[o]])  # not needed any more
         self.tokens, self.width = ids[1], max(1, len(keys[1]))
         p = (totals[1] + 1) / (n_tokens + n_words + 1)
         self.root, self.root_to = np.log10(p), np.where(totals[1] > 0, 1 + np.arange(len(keys[1])), 0)
