@@ -9,7 +9,8 @@ No task holds the model. Texts are dealt into blocks by hash. Each block sends i
 counts to buckets by the n-gram's hash, where all blocks' counts are summed; back comes, in the block's own order, what the
 other blocks add to each count. The block then has the counts of every n-gram in its texts, builds the part of the automaton that they can reach,
 and scores them in one traversal from left to right, all texts of the block at once, each carrying its state. The blocks'
-texts are one shuffle, read twice. N-grams go as sorted hashes of 56 bits, as differences in byte planes.
+texts are one shuffle, read twice. N-grams go as sorted hashes, of WORD_BITS or GRAM_BITS, as differences in byte planes: of ten
+billion n-grams one in half a million shares its hash with another one.
 """
 
 from __future__ import annotations
@@ -23,15 +24,21 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import chunks_of, hash_words, mix
 
 #: Bytes of text in a block and distinct n-grams in a bucket, about; parts of the documents, and the one that isn't learned from.
-BLOCK_BYTES, BUCKET, FOLDS, HELD_OUT = 1 << 23, 1 << 20, 7, 2
+BLOCK_BYTES, BUCKET, FOLDS, HELD_OUT = 1 << 23, 1 << 21, 7, 2
+#: Tokens of a piece that is traversed by itself; bits of the hashes of words and of longer n-grams.
+SEGMENT, WORD_BITS, GRAM_BITS = 1 << 10, 56, 52
 #: K for histories of one word, two words, and so on; their number is the model's order less one.
 STRENGTHS = (1000.0, 20.0)
 
 _U = np.uint64
-_STEP, _DROP = _U(0x9E3779B97F4A7C15), _U(8)
+_STEP = _U(0x9E3779B97F4A7C15)
 BEGIN, END = _U(0x51ED270B9F3C6A11), _U(0x2545F4914F6CDD1D)
 
 
+def bits(order: int) -> int:
+    return WORD_BITS if order == 1 else GRAM_BITS
+
+
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers as compressed planes of bytes; small or sorted-and-subtracted ones leave most planes empty."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
@@ -55,7 +62,7 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 class Block:
     """Some texts as one row of token hashes, each text with a sign for its beginning before and one for its end behind.
 
-    grams[o]: the hashes (56 bits) of the o tokens that end at each place; inside[o]: the places at which they lie in one text."""
+    grams[o]: the hashes of the o tokens that end at each place; inside[o]: the places at which they lie in one text."""
 
     def __init__(self, texts: list[bytes], order: int):
         words, counts = [], []
@@ -78,7 +85,7 @@ class Block:
         for o in range(1, order + 1):
             if o > 1:
                 chain = np.concatenate([chain[:1], mix(chain[:-1] * _STEP + tokens[1:])])
-            self.grams[o], self.inside[o] = chain >> _DROP, np.flatnonzero(place >= o - 1).astype(np.int32)
+            self.grams[o], self.inside[o] = chain >> _U(64 - bits(o)), np.flatnonzero(place >= o - 1).astype(np.int32)
 
     def learned(self, held_out: np.ndarray) -> np.ndarray:
         """1 at the places of texts that are learned from."""
@@ -103,7 +110,7 @@ class Automaton:
     State 0 knows no history; its arcs are `root`, one for every token of the block. arcs are sorted by state and token."""
 
     def __init__(self, block: Block, keys: dict, totals: dict, n_tokens: int, n_words: int, strengths: tuple[float, ...]):
-        order = len(strengths) + 1
+        order = self.order = len(strengths) + 1
         ids = {o: np.full(int(block.sizes.sum()), -1, np.int32) for o in keys}
         for o in keys:
             ids[o][block.inside[o]] = np.searchsorted(keys[o], block.grams.pop(o)[block.inside[o]])  # not needed any more
@@ -155,16 +162,24 @@ class Automaton:
         return after, out
 
     def traverse(self, block: Block) -> np.ndarray:
-        """The log-probability of each text, its end included: one step a token for all texts that are as long."""
-        by = np.argsort(-block.sizes, kind="stable")
-        start, size, state, total = block.starts[by], block.sizes[by], self.begin[by], np.zeros(len(by))
-        for t in range(1, int(size[0]) if len(size) else 0):
+        """The log-probability of each text, its end included: one step a token for all texts that are as long.
+
+        A long text goes in pieces of SEGMENT tokens: the state knows no more than the last tokens, so a piece comes to its
+        state by reading them first, from the root, without counting them."""
+        pieces = -(-(block.sizes - 1) // SEGMENT)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        warm = np.where(k > 0, self.order - 1, 0)
+        start = block.starts[text] + 1 + k * SEGMENT - warm
+        size = np.minimum(block.ends[text], block.starts[text] + 1 + (k + 1) * SEGMENT) - start
+        by = np.argsort(-size, kind="stable")
+        text, warm, start, size = text[by], warm[by], start[by], size[by]
+        state, total = np.where(warm > 0, 0, self.begin[text]), np.zeros(len(by))
+        for t in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -t, side="left"))
             state, logp = self.step(state[:n], self.tokens[start[:n] + t])
-            total[:n] += logp
-        out = np.empty(len(by))
-        out[by] = total
-        return out
+            total[:n] += np.where(warm[:n] <= t, logp, 0.0) if t < self.order else logp
+        return np.bincount(text, weights=total, minlength=len(pieces))
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -187,7 +202,7 @@ def score(docs: DataFrame, strengths: tuple[float, ...] = STRENGTHS, block_bytes
     order = len(strengths) + 1
     rows, size = _blocks(docs, block_bytes)
     buckets = 1 << max(0, (order * size // 8 // BUCKET).bit_length())
-    shift = _U(56 - buckets.bit_length() + 1)
+    depth = buckets.bit_length() - 1
 
     def count(t: pa.Table) -> pa.Table:
         texts = Block(t["text"].to_pylist(), order)
@@ -195,7 +210,7 @@ def score(docs: DataFrame, strengths: tuple[float, ...] = STRENGTHS, block_bytes
         out = []
         for o in range(1, order + 1):
             keys, counts = own_counts(texts, o, learned)
-            edges = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=_U))
+            edges = np.searchsorted(keys >> _U(bits(o) - depth), np.arange(buckets + 1, dtype=_U))
             out += [(b, o, pack_sorted(keys[i:j]), pack(counts[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if o == 1 or j > i]
         of = [t["block"][0].as_py()] * len(out)
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -214,7 +229,7 @@ def score(docs: DataFrame, strengths: tuple[float, ...] = STRENGTHS, block_bytes
             unique = every[by][first]
             sums = np.add.reduceat(np.concatenate(counts)[by], first) if len(first) else unique
             if o == 1:
-                is_word = unique != BEGIN >> _DROP
+                is_word = unique != BEGIN >> _U(64 - WORD_BITS)
                 tokens, words = int(sums[is_word].sum()), int((sums[is_word] > 0).sum())
             for block, k, c in zip(own["block"].to_pylist(), keys, counts, strict=True):
                 others = sums[np.searchsorted(unique, k)] - c
