@@ -7,6 +7,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import allocation, factors, rates, reports, risk, structure, valuation
 from tidemark.sources import snapshots
@@ -90,7 +91,8 @@ def test_sharpe_over_a_series_loses_rates_of_other_days(spark):
     kept, f = r[10:], np.where(np.arange(10, 200) < 150, 0.0001, 0.0002)
     assert got[252].observations == 190 and got[252].sharpe == pytest.approx((kept.mean() - f.mean()) * 252 / (kept.std(ddof=1) * np.sqrt(252)))
     assert got[756].sharpe is None
-    assert rates.daily_rate(0.4) == pytest.approx(np.log(1.4) / 252)
+    chosen = spark.createDataFrame([(0.4,), (-2.0,), (None,)], "annual double").select(rates.daily_rate(F.col("annual")).alias("x"))
+    assert [r.x for r in chosen.collect()] == [pytest.approx(np.log(1.4) / 252), pytest.approx(np.log(0.01) / 252), None]
 
 
 def test_betas_and_styles_find_weights_and_lag(spark):

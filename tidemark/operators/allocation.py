@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf
+from tidemark.operators.risk import by_set
 
 TINY = 1e-12
 #: The weights of the score's components.
@@ -15,10 +16,13 @@ SCORE_WEIGHTS = {"sharpe": 35, "diversification": 20, "tail": 15, "model": 10, "
 def pair_moments(returns: DataFrame) -> DataFrame:
     """a, b, n, s, q, c of every ordered pair of assets, each with itself too: the means of xy, x2y2 and x3y of centred returns.
 
-    Made once for all portfolios; the rows joined grow with the days and the square of the assets, and are summed before the shuffle."""
-    x = returns.join(returns.groupBy("asset").agg(F.avg("r").alias("m")), "asset").select("asset", "d", (F.col("r") - F.col("m")).alias("x"))
+    With a set_id only the assets of a set meet, once for all portfolios that hold it: the rows joined grow with the days and the
+    squares of the sets, not with the square of all assets, and are summed before the shuffle."""
+    keys = by_set(returns)
+    x = returns.join(returns.groupBy(*keys, "asset").agg(F.avg("r").alias("m")), [*keys, "asset"]).select(*keys, "asset", "d", (F.col("r") - F.col("m")).alias("x"))
     p, q = F.col("p.x"), F.col("q.x")
-    pairs = x.alias("p").join(x.alias("q"), F.expr("p.d = q.d")).groupBy(F.col("p.asset").alias("a"), F.col("q.asset").alias("b"))
+    same = " AND ".join(f"p.{k} = q.{k}" for k in [*keys, "d"])
+    pairs = x.alias("p").join(x.alias("q"), F.expr(same)).groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.asset").alias("a"), F.col("q.asset").alias("b"))
     return pairs.agg(F.count("*").alias("n"), F.avg(p * q).alias("s"), F.avg(p * p * q * q).alias("q"), F.avg(p * p * p * q).alias("c"))
 
 
@@ -27,10 +31,11 @@ def shrunk_covariance(moments: DataFrame, weights: DataFrame, textbook: bool = F
 
     The target's correlation and the shrinkage follow from the portfolio's own assets. The term for the target's own
     error takes the weight 1 / sd(a), or sd(b) / sd(a) with `textbook`. One asset: its variance, no shrinkage."""
-    held = weights.select("portfolio_id", "asset")
-    own = moments.join(held.withColumnRenamed("asset", "a"), "a").join(held.withColumnRenamed("asset", "b"), ["portfolio_id", "b"])
-    var = moments.where("a = b").select(F.col("a").alias("asset"), F.sqrt("s").alias("sd"))
-    own = own.join(var.select(F.col("asset").alias("a"), F.col("sd").alias("sa")), "a").join(var.select(F.col("asset").alias("b"), F.col("sd").alias("sb")), "b")
+    keys = by_set(moments)
+    held = weights.select("portfolio_id", *keys, "asset")
+    own = moments.join(held.withColumnRenamed("asset", "a"), [*keys, "a"]).join(held.withColumnRenamed("asset", "b"), [*keys, "portfolio_id", "b"])
+    var = moments.where("a = b").select(*keys, F.col("a").alias("asset"), F.sqrt("s").alias("sd"))
+    own = own.join(var.select(*keys, F.col("asset").alias("a"), F.col("sd").alias("sa")), [*keys, "a"]).join(var.select(*keys, F.col("asset").alias("b"), F.col("sd").alias("sb")), [*keys, "b"])
     size = F.when(F.col("sa") * F.col("sb") == 0, TINY).otherwise(F.col("sa") * F.col("sb"))
     off, noise = F.col("a") != F.col("b"), F.col("q") - F.col("s") ** 2
     lean = (F.col("c") - F.col("sa") ** 2 * F.col("s")) * F.col("sb") / F.when(F.lit(textbook), F.col("sa")).otherwise(F.col("sa") * (F.col("sb") + TINY))
@@ -112,4 +117,4 @@ def composite_score(parts: DataFrame) -> DataFrame:
     rows = parts.select("portfolio_id", *[x.cast("double").alias(k) for k, x in made.items()])
     total = sum(F.coalesce(F.col(k) * w, F.lit(0.0)) for k, w in SCORE_WEIGHTS.items())
     weight = sum(F.when(F.col(k).isNotNull(), w).otherwise(0) for k, w in SCORE_WEIGHTS.items())
-    return rows.select("portfolio_id", *[F.round(k, 1).alias(k) for k in made], F.round(F.try_divide(total, weight), 1).alias("score"))
+    return rows.select("portfolio_id", *[F.bround(k, 1).alias(k) for k in made], F.bround(F.try_divide(total, weight), 1).alias("score"))

@@ -59,16 +59,22 @@ def backtest(path: DataFrame, confidence: float = 0.99) -> DataFrame:
     return all_rows.join(scored, ["portfolio_id", "model"], "left")
 
 
-def headline_var(path: DataFrame, confidence: float = 0.99) -> DataFrame:
-    """portfolio_id, model, var, zone, kupiec_p of the model in the best zone, then of the highest coverage p, then first in
-    order; the historical model where no backtest is possible, or where the best model has no VaR."""
+def headline(models: DataFrame) -> DataFrame:
+    """portfolio_id, model, zone, kupiec_p of a backtest's model in the best zone, then of the highest coverage p, then first in order.
+
+    Where no backtest was possible all models are alike, so the historical one is taken, without zone and p."""
     rank = F.when(F.col("zone") == "green", 2).when(F.col("zone") == "yellow", 1).when(F.col("zone") == "red", 0).otherwise(-1)
     place = F.array_position(F.array(*map(F.lit, MODELS)), F.col("model"))
-    best = backtest(path, confidence).groupBy("portfolio_id").agg(F.max_by(F.struct("model", "zone", "kupiec_p"), F.struct(rank, F.coalesce("kupiec_p", F.lit(-1.0)), -place)).alias("b"))
+    best = models.groupBy("portfolio_id").agg(F.max_by(F.struct("model", "zone", "kupiec_p"), F.struct(rank, F.coalesce("kupiec_p", F.lit(-1.0)), -place)).alias("b"))
+    return best.select("portfolio_id", "b.*")
+
+
+def headline_var(path: DataFrame, confidence: float = 0.99) -> DataFrame:
+    """portfolio_id, model, var, zone, kupiec_p of the model that passes best (see headline); its historical VaR where it has no other."""
     fhs = filtered_historical(path, confidence).select("portfolio_id", "sigma_today", "var_fhs")
-    vars_ = best.join(historical_var(path, confidence=confidence), "portfolio_id").join(fhs, "portfolio_id", "left")
-    own = F.when(F.col("b.model") == "fhs", F.col("var_fhs")).when(F.col("b.model") == "ewma", F.col("sigma_today") * NormalDist().inv_cdf(1 - confidence))
-    return vars_.select("portfolio_id", F.col("b.model").alias("model"), F.coalesce(own, F.col("var")).alias("var"), F.col("b.zone").alias("zone"), F.col("b.kupiec_p").alias("kupiec_p"))
+    vars_ = headline(backtest(path, confidence)).join(historical_var(path, confidence=confidence), "portfolio_id").join(fhs, "portfolio_id", "left")
+    own = F.when(F.col("model") == "fhs", F.col("var_fhs")).when(F.col("model") == "ewma", F.col("sigma_today") * NormalDist().inv_cdf(1 - confidence))
+    return vars_.select("portfolio_id", "model", F.coalesce(own, F.col("var")).alias("var"), "zone", "kupiec_p")
 
 
 def vol_regime(path: DataFrame, least: int = 250) -> DataFrame:

@@ -18,12 +18,24 @@ def log_change(series: DataFrame, value: str = "px") -> DataFrame:
     return series.select("d", F.log(F.col(value) / F.lag(value).over(w)).alias("f")).where("f IS NOT NULL")
 
 
-def currency_split(series: DataFrame, weights: DataFrame, fx: DataFrame, direct: list[str], indirect: float = 0.0, least: int = 120) -> DataFrame:
+def looked_through(weights: DataFrame, styles: DataFrame, factor: str) -> DataFrame:
+    """portfolio_id, indirect: what funds add to a portfolio's exposure to a factor: the fund's share by its style weight (see factors.style).
+
+    styles(key, factor, weight): weights below 0 count as 0, funds without a style or that a portfolio doesn't hold add nothing."""
+    own = styles.where(F.col("factor") == factor).select(F.col("key").alias("asset"), F.greatest(F.col("weight"), F.lit(0.0)).alias("part"))
+    return weights.join(own, "asset").groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("part")).alias("indirect"))
+
+
+def currency_split(series: DataFrame, weights: DataFrame, fx: DataFrame, direct: list[str], indirect: DataFrame | None = None, least: int = 120) -> DataFrame:
     """Variance of portfolio returns split into local, currency and covariance shares, with the currency's volatility and drift.
 
-    The exposure is the weight of the assets named plus the share that others hold indirectly, at most 1. Days without an
-    fx return (d, f) don't count; fewer than `least`, or no variance of either, give nulls."""
-    held = weights.groupBy("portfolio_id").agg(F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("asset").isin(direct), F.col("w"))), F.lit(0.0)) + max(indirect, 0.0)).alias("exposure"))
+    The exposure is the weight of the assets named plus what a portfolio's funds hold, indirect(portfolio_id, indirect), at most 1.
+    Days without an fx return (d, f) don't count; fewer than `least`, or no variance of either, give nulls."""
+    named = weights.groupBy("portfolio_id").agg(F.coalesce(F.sum(F.when(F.col("asset").isin(direct), F.col("w"))), F.lit(0.0)).alias("exposure"))
+    if indirect is not None:
+        more = F.greatest(F.coalesce("indirect", F.lit(0.0)), F.lit(0.0))
+        named = named.join(indirect, "portfolio_id", "left").select("portfolio_id", (F.col("exposure") + more).alias("exposure"))
+    held = named.select("portfolio_id", F.least(F.lit(1.0), F.col("exposure")).alias("exposure"))
     days = series.join(fx, "d").join(held, "portfolio_id")
     part = F.col("exposure") * F.col("f")
     v = days.groupBy("portfolio_id", "exposure").agg(
@@ -91,11 +103,14 @@ def stress(prices: DataFrame, weights: DataFrame, scenarios: list[tuple[str, str
     )
 
 
-def beat_deposit(series: DataFrame, annual: float | None, horizon: int = 252, least: int = 120) -> DataFrame:
-    """Odds of ending below a deposit's rate after the horizon, plain and widened by the Sharpe ratio's own error; null without a rate."""
-    rate = F.log(1 + F.greatest(F.lit(annual).cast("double"), F.lit(-0.99))) / 252
-    m = series.groupBy("portfolio_id").agg(F.count("r").alias("n"), F.avg(F.col("r") - rate).alias("mu"), F.stddev_pop("r").alias("sd"))
-    m = m.withColumn("sr", F.when(F.lit(annual).isNotNull() & (F.col("sd") > 0), F.try_divide("mu", "sd")))
+def beat_deposit(series: DataFrame, annual: float | DataFrame | None, horizon: int = 252, least: int = 120) -> DataFrame:
+    """Odds of ending below a deposit's rate after the horizon, plain and widened by the Sharpe ratio's own error; null without a rate.
+
+    annual: one rate for all, or annual(portfolio_id, annual) with each portfolio's own."""
+    m = series.groupBy("portfolio_id").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
+    m = m.join(annual, "portfolio_id", "left") if isinstance(annual, DataFrame) else m.withColumn("annual", F.lit(annual).cast("double"))
+    rate = F.log(1 + F.greatest(F.col("annual"), F.lit(-0.99))) / 252
+    m = m.withColumn("sr", F.when(F.col("annual").isNotNull() & (F.col("sd") > 0), F.try_divide(F.col("mean") - rate, F.col("sd"))))
     point = F.col("sr") * F.sqrt(F.lit(float(horizon)))
     error = (1 + 0.5 * F.col("sr") ** 2) / F.col("n") * float(horizon)
     g = lambda c: gated(F.col("n"), least, c)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts into which the days are dealt where portfolios of one set of assets meet its returns.
+DAY_BLOCKS = 16
+
 
 def clean(prices: DataFrame) -> DataFrame:
     """Rows with a positive price; anything else counts as no trade."""
@@ -20,17 +23,35 @@ def log_returns(prices: DataFrame) -> DataFrame:
     return good.join(full, "d").select("asset", "d", F.log(F.col("px") / F.lag("px").over(w)).alias("r")).where("r IS NOT NULL")
 
 
-def held_returns(prices: DataFrame, holdings: DataFrame) -> DataFrame:
-    """portfolio_id, asset, d, r on the dates on which all assets of the portfolio trade, whatever others hold.
+def asset_sets(prices: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(portfolio_id, set_id; set_id, asset): portfolios by the set of priced assets that they hold, and the assets of each set.
+
+    Portfolios of equal sets share a calendar, so what is aligned once for a set serves them all. An asset without any
+    positive price is in no set, and a portfolio of such alone has none. Sets are told apart by 128 bits of hash and their size."""
+    priced = clean(prices).select("asset").distinct()
+    held = holdings.select("portfolio_id", "asset").distinct().join(priced, "asset", "left_semi")
+    hashed = [F.bit_xor(F.xxhash64("asset")), F.bit_xor(F.xxhash64(F.lit(1), "asset"))]
+    of = held.groupBy("portfolio_id").agg(F.concat_ws("-", F.count("*"), *map(F.hex, hashed)).alias("set_id"))
+    one = of.groupBy("set_id").agg(F.min("portfolio_id").alias("portfolio_id"))
+    return of, held.join(one, "portfolio_id").select("set_id", "asset")
 
-    An asset without any price counts for no portfolio; a return spans the dates left out. Prices are spread to the
-    portfolios that hold them, so the rows grow with the positions; all windows share the portfolio's partitioning."""
-    held = clean(prices).join(holdings.select("portfolio_id", "asset").distinct(), "asset")
-    assets = held.select("portfolio_id", "asset").distinct().groupBy("portfolio_id").agg(F.count("*").alias("n_assets"))
-    day = Window.partitionBy("portfolio_id", "d")
-    full = held.join(assets, "portfolio_id").withColumn("n", F.count("*").over(day)).where("n = n_assets")
-    w = Window.partitionBy("portfolio_id", "asset").orderBy("d")
-    return full.select("portfolio_id", "asset", "d", F.log(F.col("px") / F.lag("px").over(w)).alias("r")).where("r IS NOT NULL")
+
+def set_returns(prices: DataFrame, members: DataFrame) -> DataFrame:
+    """set_id, asset, d, r of sets(set_id, asset): log returns on the dates on which all assets of the set trade.
+
+    A return spans the dates left out. Rows grow with the assets of the distinct sets, not with the portfolios."""
+    rows = clean(prices).join(members, "asset")
+    size = members.groupBy("set_id").agg(F.count("*").alias("n_assets"))
+    day = Window.partitionBy("set_id", "d")
+    full = rows.join(size, "set_id").withColumn("n", F.count("*").over(day)).where("n = n_assets")
+    w = Window.partitionBy("set_id", "asset").orderBy("d")
+    return full.select("set_id", "asset", "d", F.log(F.col("px") / F.lag("px").over(w)).alias("r")).where("r IS NOT NULL")
+
+
+def held_returns(prices: DataFrame, holdings: DataFrame) -> DataFrame:
+    """portfolio_id, asset, d, r on the dates on which all assets of the portfolio trade, whatever others hold; see asset_sets."""
+    of, members = asset_sets(prices, holdings)
+    return set_returns(prices, members).join(of, "set_id").select("portfolio_id", "asset", "d", "r")
 
 
 def position_changes(prices: DataFrame, days: int = 7) -> DataFrame:
@@ -44,18 +65,6 @@ def position_changes(prices: DataFrame, days: int = 7) -> DataFrame:
     return two.join(past, "asset", "left").select("asset", F.col("l.px").alias("last"), (F.col("l.px") / F.col("l.before") - 1).alias("previous_change"), (F.col("l.px") / F.col("past") - 1).alias("period_change"))
 
 
-def adjacent_returns(prices: DataFrame, start: str, end: str) -> DataFrame:
-    """asset, d, r between neighbours on the window's raw calendar, on dates where all assets of the window have one."""
-    inside = prices.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    days = inside.select("d").distinct().withColumn("k", F.row_number().over(Window.orderBy("d")))  # a calendar: one row a day
-    w = Window.partitionBy("asset").orderBy("d")
-    ranked = clean(inside).join(days, "d").select("asset", "d", "px", "k", F.lag("px").over(w).alias("before"), F.lag("k").over(w).alias("k0"))
-    moved = ranked.where("k0 = k - 1").select("asset", "d", F.log(F.col("px") / F.col("before")).alias("r"))
-    n = clean(inside).agg(F.countDistinct("asset").alias("n_assets"))
-    full = moved.groupBy("d").agg(F.count("*").alias("n")).join(F.broadcast(n), F.expr("n = n_assets")).select("d")  # one row
-    return moved.join(full, "d")
-
-
 def daily_fill(series: DataFrame, keys: list[str], value: str = "px") -> DataFrame:
     """A row for each calendar day between a key's first and last, with the last known value carried on."""
     span = series.groupBy(*keys).agg(F.min("d").alias("a"), F.max("d").alias("b"))
@@ -64,17 +73,28 @@ def daily_fill(series: DataFrame, keys: list[str], value: str = "px") -> DataFra
     return days.join(series, [*keys, "d"], "left").select(*keys, "d", F.last(value, True).over(w).alias(value))
 
 
-def weights(holdings: DataFrame, prices: DataFrame) -> DataFrame:
-    """portfolio_id, asset, value, w: positions at the last price; duplicate positions of an asset are summed."""
-    last = prices.groupBy("asset").agg(F.max_by("px", "d").alias("last"))
+def weights(holdings: DataFrame, prices: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """portfolio_id, asset, value, w, and set_id with sets `of` portfolios: positions at the last price; duplicate positions of an asset are summed."""
+    last = clean(prices).groupBy("asset").agg(F.max_by("px", "d").alias("last"))
     value = holdings.groupBy("portfolio_id", "asset").agg(F.sum("quantity").alias("q")).join(last, "asset").select("portfolio_id", "asset", (F.col("q") * F.col("last")).alias("value"))
     total = F.sum("value").over(Window.partitionBy("portfolio_id"))
-    return value.withColumn("w", F.when(total > 0, F.col("value") / total))
+    rows = value.withColumn("w", F.when(total > 0, F.col("value") / total))
+    return rows if of is None else rows.join(of, "portfolio_id")
 
 
 def portfolio_returns(returns: DataFrame, w: DataFrame) -> DataFrame:
-    """portfolio_id, d, i (from 0), r: weighted sums of the assets' returns."""
-    r = returns.join(w, "asset").groupBy("portfolio_id", "d").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    """portfolio_id, d, i (from 0), r: weighted sums of the assets' returns.
+
+    Returns and weights with a set_id (see asset_sets) meet by set: a set's day is one row with its assets' returns in order, a
+    portfolio one row with their weights, so the join makes a row for each portfolio and day. Days are dealt into DAY_BLOCKS,
+    so that a set that a third of all portfolios hold isn't one task. Without a set_id they meet by asset."""
+    if "set_id" in returns.columns and "set_id" in w.columns:
+        block = F.pmod(F.hash("d"), F.lit(DAY_BLOCKS))
+        day = returns.groupBy("set_id", "d").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("rs")).withColumn("block", block)
+        own = w.groupBy("portfolio_id", "set_id").agg(F.array_sort(F.collect_list(F.struct("asset", "w"))).alias("ws")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(DAY_BLOCKS - 1))))
+        r = day.join(own, ["set_id", "block"]).select("portfolio_id", "d", F.aggregate(F.zip_with("ws", "rs", lambda a, b: a["w"] * b["r"]), F.lit(0.0), lambda s, x: s + x).alias("r"))
+    else:
+        r = returns.join(w, "asset").groupBy("portfolio_id", "d").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
     return r.withColumn("i", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("d")) - 1)
 
 

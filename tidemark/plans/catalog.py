@@ -34,11 +34,13 @@ def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def _returns(spark: SparkSession, d: str) -> DataFrame:
-    return N.log_returns(S.prices(spark, d))
+    """set_id, asset, d, r on the calendar of each set of assets that a portfolio holds."""
+    return N.set_returns(S.prices(spark, d), N.asset_sets(S.prices(spark, d), S.holdings(spark, d))[1])
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return N.weights(S.holdings(spark, d), S.prices(spark, d))
+    prices, held = S.prices(spark, d), S.holdings(spark, d)
+    return N.weights(held, prices, N.asset_sets(prices, held)[0])
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +53,7 @@ def _stress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _valuation(spark: SparkSession, d: str) -> DataFrame:
-    w = _weights(spark, d)
+    w = _weights(spark, d).drop("set_id")
     cost = S.prices(spark, d).groupBy("asset").agg(F.min_by("px", "d").alias("cost"))
     held = S.holdings(spark, d).join(w.drop("w"), ["portfolio_id", "asset"]).join(cost, "asset")
     paid = F.col("quantity") * F.col("cost")
@@ -78,9 +80,11 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _liquidity(spark: SparkSession, d: str) -> DataFrame:
-    """Positions against the volume in money: R trades as an equity, A as a fund, the rest is liquid."""
+    """Positions against the volume in money, pieces at the last price: R trades as an equity, A as a fund, the rest is liquid."""
     kind = F.when(F.col("asset") == "R", "equity").when(F.col("asset") == "A", "fund").otherwise("liquid")
-    return E.liquidity(_weights(spark, d).join(_adv(spark, d).select("asset", "adv"), "asset", "left").withColumn("kind", kind))
+    last = S.prices(spark, d).groupBy("asset").agg(F.max_by("px", "d").alias("last"))
+    volume = _adv(spark, d).join(last, "asset").select("asset", (F.col("adv") * F.col("last")).alias("adv"))
+    return E.liquidity(_weights(spark, d).join(volume, "asset", "left").withColumn("kind", kind))
 
 
 def _shocks(spark: SparkSession, d: str) -> DataFrame:
@@ -109,13 +113,13 @@ def queries() -> dict:
     series = lambda f, digits=8: lambda spark, d: _rounded(f(_series(spark, d)), digits)
     returns = lambda f, digits=8: lambda spark, d: _rounded(f(_returns(spark, d)), digits)
     return {
-        "q_log_returns": returns(lambda r: r),
+        "q_log_returns": returns(lambda r: r.drop("set_id")),
         "q_portfolio_returns": series(lambda s: s),
-        "q_weights": lambda spark, d: _rounded(_weights(spark, d), 6),
+        "q_weights": lambda spark, d: _rounded(_weights(spark, d).drop("set_id"), 6),
         "q_hist_var": series(R.historical_var),
         "q_es": series(R.expected_shortfall),
         "q_diversification": lambda spark, d: _rounded(R.diversification(_returns(spark, d), _weights(spark, d), _series(spark, d)), 2),
-        "q_corr": returns(R.correlations),
+        "q_corr": returns(lambda r: R.correlations(r).drop("set_id")),
         "q_sharpe_multi": series(R.sharpe, 6),
         "q_sharpe_ci": series(lambda s: R.sharpe_confidence(s, 0.0001), 6),
         "q_drawdown": series(R.drawdown, 6),
@@ -130,10 +134,10 @@ def queries() -> dict:
         "q_shock_grid": lambda spark, d: _rounded(_shocks(spark, d), 4),
         "q_simulate": lambda spark, d: _rounded(E.value_path(_series(spark, d), _values(spark, d)), 2),
         "q_evt": series(R.evt_tail, 6),
-        "q_tail_dep": returns(R.tail_dependence, 6),
+        "q_tail_dep": returns(lambda r: R.tail_dependence(r).drop("set_id"), 6),
         "q_srri": series(R.srri, 6),
         "q_concentration_hhi": lambda spark, d: _rounded(R.concentration(_weights(spark, d))),
-        "q_beta_1f": lambda spark, d: _rounded(R.beta((r := _returns(spark, d)), r.groupBy("d").agg(F.avg("r").alias("f"))), 6),
+        "q_beta_1f": lambda spark, d: _rounded(R.beta((r := _returns(spark, d)), r.groupBy("set_id", "d").agg(F.avg("r").alias("f"))).drop("set_id"), 6),
         "q_lw_cov": lambda spark, d: _rounded(_cov(spark, d).select("portfolio_id", "a", "b", "shrinkage", (F.col("cov") * 1e4).alias("cov"))),
         "q_attribution": lambda spark, d: _rounded(_attribution(spark, d), 4),
         "q_real": lambda spark, d: _rounded(A.real_returns(_series(spark, d), S.price_index(spark, d)), 6),
@@ -250,7 +254,7 @@ FROM ewma JOIN today USING (portfolio_id) WHERE i >= 30 GROUP BY 1""",
 SELECT portfolio_id, n, round({phi("z1")}, 6) AS below, round({phi("z0")}, 6) AS below_point FROM zs""",
         "q_fx_split": BASE + fx + " SELECT portfolio_id, round(e, 6) AS exposure, round(vl / vp, 6) AS local_share, round(vf / vp, 6) AS fx_share, round((vp - vl - vf) / vp, 6) AS cov_share, round(sqrt(vx * 252), 6) AS fx_vol, round(m * 252, 6) AS fx_drift FROM v WHERE n >= 120",
         "q_liquidity": BASE + """, adv AS (SELECT asset, avg(v) AS adv FROM daily WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10),
-t AS (SELECT portfolio_id, asset, w, CASE asset WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN greatest(1.0::DOUBLE, coalesce(value / (0.25::DOUBLE * adv), 1.0)) ELSE 1.0 END AS t FROM weights LEFT JOIN adv USING (asset))
+t AS (SELECT portfolio_id, asset, w, CASE asset WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN greatest(1.0::DOUBLE, coalesce(value / (0.25::DOUBLE * adv * last), 1.0)) ELSE 1.0 END AS t FROM weights LEFT JOIN adv USING (asset) JOIN last_px USING (asset))
 SELECT portfolio_id, asset, round_even(t, 1) AS days_to_exit, round(w, 6) AS value_share, round(sum(w * sqrt(t)) OVER (PARTITION BY portfolio_id), 6) AS lvar_multiplier FROM t""",
         "q_shock_grid": BASE + totals + f""", betas AS (SELECT s.portfolio_id, x.asset AS factor, regr_slope(s.r, x.r) AS beta FROM series s JOIN returns x USING (d) GROUP BY 1, 2), shocks(scenario, factor, shock) AS (VALUES {shocks}),
 c AS (SELECT portfolio_id, scenario, value, sum(coalesce(beta, 0) * shock) AS change FROM totals CROSS JOIN shocks LEFT JOIN betas USING (portfolio_id, factor) GROUP BY 1, 2, 3) SELECT portfolio_id, scenario, round(change, 4) AS change, round(change * value, 4) AS impact FROM c""",
@@ -283,13 +287,13 @@ SELECT portfolio_id, n, round(t, 8) AS sigma_today, round(q * t, 8) AS var_fhs,
 o AS (SELECT portfolio_id, n, u, -r - u AS y FROM series JOIN u USING (portfolio_id) WHERE -r > u), j AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY y) AS j, count(*) OVER (PARTITION BY portfolio_id) AS k FROM o),
 a AS (SELECT portfolio_id, n, u, k, avg(y) AS a0, avg((1 - (j - 0.35) / k) * y) AS a1 FROM j GROUP BY 1, 2, 3, 4), x AS (SELECT *, 2 - a0 / (a0 - 2 * a1) AS xi, 2 * a0 * a1 / (a0 - 2 * a1) AS beta FROM a WHERE n >= 500 AND k >= 30 AND a0 - 2 * a1 > 0),
 v AS (SELECT *, u + beta / xi * (pow(n / k * (1 - 0.995), -xi) - 1) AS v FROM x WHERE xi < 0.95 AND beta > 0)
-SELECT portfolio_id, round(xi, 6) AS xi, round(beta, 6) AS beta, round(-v, 6) AS var_evt, round(-(v + beta - xi * u) / (1 - xi), 6) AS es_evt FROM (SELECT DISTINCT portfolio_id FROM series) LEFT JOIN v USING (portfolio_id)""",
+SELECT portfolio_id, round(xi, 6) AS xi, round(beta, 6) AS beta, round(-v, 6) AS var_evt, round(-(v + beta - xi * u) / (1 - xi), 6) AS es_evt, round(u, 6) AS threshold, k AS exceedances FROM (SELECT DISTINCT portfolio_id FROM series) LEFT JOIN v USING (portfolio_id)""",
         "q_tail_dep": BASE + """, cut AS (SELECT asset, quantile_cont(r, 0.05) AS cut, count(*) AS n FROM returns GROUP BY 1), low AS (SELECT asset, d, n FROM returns JOIN cut USING (asset) WHERE r <= cut)
 SELECT x.asset AS a, y.asset AS b, count(*) AS "both", round(count(*) / (0.05 * max(x.n)), 6) AS tail_lambda FROM low x JOIN low y ON x.d = y.d AND x.asset < y.asset GROUP BY 1, 2""",
         "q_srri": BASE + """, w AS (SELECT portfolio_id, CAST(date_trunc('week', d) AS DATE) AS wk, sum(r) AS r FROM series GROUP BY 1, 2),
 g AS (SELECT portfolio_id, CAST(unnest(generate_series(min(wk), max(wk), INTERVAL 7 DAY)) AS DATE) AS wk FROM w GROUP BY 1),
-b AS (SELECT portfolio_id, wk, coalesce(r, 0) AS r, row_number() OVER (PARTITION BY portfolio_id ORDER BY wk DESC) AS k FROM g LEFT JOIN w USING (portfolio_id, wk)), v AS (SELECT portfolio_id, count(*) AS weeks, stddev_samp(r) * sqrt(52) AS vol FROM b WHERE k <= 260 GROUP BY 1)
-SELECT portfolio_id, weeks, round(vol, 6) AS volatility, CAST(1 + (vol >= 0.005)::INT + (vol >= 0.02)::INT + (vol >= 0.05)::INT + (vol >= 0.1)::INT + (vol >= 0.15)::INT + (vol >= 0.25)::INT AS BIGINT) AS srri FROM v""",
+b AS (SELECT portfolio_id, wk, coalesce(r, 0) AS r, row_number() OVER (PARTITION BY portfolio_id ORDER BY wk DESC) AS k FROM g LEFT JOIN w USING (portfolio_id, wk)), v AS (SELECT portfolio_id, count(*) AS weeks, stddev_samp(r) * sqrt(52) AS vol FROM b WHERE k <= 260 GROUP BY 1), vn AS (SELECT portfolio_id, weeks, CASE WHEN weeks >= 24 AND n >= 120 THEN vol END AS vol FROM v JOIN hv USING (portfolio_id))
+SELECT portfolio_id, weeks, round(vol, 6) AS volatility, CAST(1 + (vol >= 0.005)::INT + (vol >= 0.02)::INT + (vol >= 0.05)::INT + (vol >= 0.1)::INT + (vol >= 0.15)::INT + (vol >= 0.25)::INT AS BIGINT) AS srri FROM vn""",
         "q_concentration_hhi": BASE + "SELECT portfolio_id, round(sum(w * w), 8) AS hhi, round(1 / sum(w * w), 8) AS effective_positions FROM weights GROUP BY 1",
         "q_beta_1f": BASE + ", f AS (SELECT d, avg(r) AS f FROM returns GROUP BY 1) SELECT asset, count(*) AS n, round(regr_slope(r, f), 6) AS beta, round(regr_r2(r, f), 6) AS r2 FROM returns JOIN f USING (d) GROUP BY 1",
         "q_held_returns": f"""

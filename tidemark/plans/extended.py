@@ -186,7 +186,7 @@ def queries() -> dict:
         "q_corr_matrix": _matrix,
         "q_ewma_var": series(lambda s: R.parametric(R.ewma_path(s))),
         "q_lvar": rounded(_liquidity_var),
-        "q_tail_pairs": rounded(lambda spark, d: R.tail_pairs(C._returns(spark, d))),
+        "q_tail_pairs": rounded(lambda spark, d: R.tail_pairs(C._returns(spark, d)).drop("set_id", "place")),
         "q_merged_prices": rounded(_merged, 2),
         "q_adv_recent": rounded(_recent_volume),
         "q_search": _search,
@@ -282,7 +282,7 @@ SELECT portfolio_id, asset, round(weight, 6) AS weight, FALSE AS cash_like FROM
         "q_corr_matrix": C.BASE + " SELECT p.asset AS a, q.asset AS b, CASE WHEN p.asset = q.asset THEN 1.0 ELSE round_even(corr(p.r, q.r), 4) END AS rho FROM returns p JOIN returns q USING (d) GROUP BY 1, 2, p.asset = q.asset",
         "q_ewma_var": C.BASE.rstrip() + C.EWMA.rstrip() + f""" SELECT portfolio_id, CASE WHEN count(*) >= 120 THEN round({z!r}::DOUBLE * sqrt(0.94 * pow(max_by(sigma, i), 2) + 0.06 * pow(max_by(r, i), 2)), 8) END AS var_ewma,
 CASE WHEN count(*) >= 120 THEN round({-normal.pdf(z) / (1 - 0.99)!r}::DOUBLE * sqrt(0.94 * pow(max_by(sigma, i), 2) + 0.06 * pow(max_by(r, i), 2)), 8) END AS es_ewma FROM ewma GROUP BY 1""",
-        "q_lvar": C.BASE.rstrip() + """, adv AS (SELECT asset, avg(v) AS adv FROM daily WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10), t AS (SELECT portfolio_id, sum(w * sqrt(CASE asset WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN greatest(1.0::DOUBLE, coalesce(value / (0.25::DOUBLE * adv), 1.0)) ELSE 1.0 END)) AS k FROM weights LEFT JOIN adv USING (asset) GROUP BY 1)
+        "q_lvar": C.BASE.rstrip() + """, adv AS (SELECT asset, avg(v) AS adv FROM daily WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10), t AS (SELECT portfolio_id, sum(w * sqrt(CASE asset WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN greatest(1.0::DOUBLE, coalesce(value / (0.25::DOUBLE * adv * last), 1.0)) ELSE 1.0 END)) AS k FROM weights LEFT JOIN adv USING (asset) JOIN last_px USING (asset) GROUP BY 1)
 SELECT portfolio_id, round(k, 6) AS multiplier, round(var, 6) AS var, round(var * k, 6) AS lvar FROM t JOIN hv USING (portfolio_id)""",
         "q_tail_pairs": C.BASE.rstrip() + """, cut AS (SELECT asset, quantile_cont(r, 0.05) AS cut, count(*) AS n FROM returns GROUP BY 1), mk AS (SELECT asset, d, r, n, r <= cut AS low FROM returns JOIN cut USING (asset) WHERE n >= 300),
 pr AS (SELECT p.asset AS a, q.asset AS b, count(*) FILTER (p.low AND q.low) AS co_exceedances, corr(p.r, q.r) AS pearson, max(p.n) AS n FROM mk p JOIN mk q ON p.d = q.d AND p.asset < q.asset GROUP BY 1, 2)

@@ -29,6 +29,21 @@ def sparse_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg((F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / F.count("*")).alias("px"))
 
 
+def gap_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset, d, px with gaps that differ by asset: the average order value by priority over its last twenty trading days; sums are exact."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("asset"), F.col("o_orderdate").cast("date").alias("d"))
+    daily = o.agg(F.sum(F.col("o_totalprice").cast("decimal(15,2)")).alias("e"), F.count("*").alias("n"))
+    w = Window.partitionBy("asset").orderBy("d").rowsBetween(1 - SMOOTHING, 0)
+    return daily.select("asset", "d", (F.sum("e").over(w).cast("double") / F.sum("n").over(w)).alias("px"))
+
+
+def gap_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """portfolio_id, asset, quantity: each segment's and nation's orders by priority; by its number, a nation goes without some priorities."""
+    o, c = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).where((F.col("c_nationkey") + F.substring("o_orderpriority", 1, 1).cast("int")) % 3 != 0)
+    return rows.groupBy(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey")).alias("portfolio_id"), F.col("o_orderpriority").alias("asset")).agg(F.count("*").cast("double").alias("quantity"))
+
+
 def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """d, v: the average order value of each month, at its last day, as an index of consumer prices."""
     o = table(spark, sf_dir, "orders").groupBy(F.last_day(F.col("o_orderdate").cast("date")).alias("d"))
