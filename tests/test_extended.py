@@ -163,11 +163,19 @@ def test_expected_drawdown_is_the_median_of_resampled_paths(spark):
     r = np.random.default_rng(6).normal(0, 0.01, 130)
     rows = [("p", i, float(x)) for i, x in enumerate(r)] + [("few", i, 0.1) for i in range(10)]
     got = {x.portfolio_id: x.expected_drawdown for x in structure.expected_drawdown(spark.createDataFrame(rows, "portfolio_id string, i int, r double").repartition(3)).collect()}
-    draw, falls = np.random.default_rng(0), []
-    for _ in range(400):
-        c = np.exp(np.cumsum(draw.choice(r, size=130, replace=True)))
-        falls.append(min(c[k] / c[: k + 1].max() - 1 for k in range(130)))
+    p, falls, rows = 2_147_483_647, [], []
+    for k in range(400):
+        x = [((k + 1) * 104_729 + (t + 1) * 15_485_863 + 12_345) % p for t in range(130)]
+        z = [v * v % p * ((v + 12_345) % p) % p for v in x]
+        rows.append([(a * a + b) % p * 130 // p for a, b in zip(z, x)])
+        c = np.exp(np.cumsum(r[rows[-1]]))
+        falls.append(min(c[j] / c[: j + 1].max() - 1 for j in range(130)))
     assert got["p"] == pytest.approx(np.median(falls)) and got["few"] is None
+    rows = np.array(rows)
+    assert abs(np.corrcoef(rows[:, :-1].ravel(), rows[:, 1:].ravel())[0, 1]) < 0.02 and abs(rows.mean() - 64.5) < 1 and rows.std() == pytest.approx(130 / np.sqrt(12), rel=0.01)
+    draw = np.random.default_rng(0)
+    chance = [min((lambda c: c / np.maximum.accumulate(c) - 1)(np.exp(np.cumsum(draw.choice(r, size=130))))) for _ in range(4000)]
+    assert got["p"] == pytest.approx(np.median(chance), rel=0.08)
 
 
 def test_tail_pairs_keep_those_that_never_fall_together(spark):
@@ -208,4 +216,4 @@ def test_snapshots(spark, tmp_path):
     at = str(tmp_path / "p")
     for rows in ([("p", 1), ("p", 2), ("q", 3)], [("p", 9)]):
         snapshots.replace_portfolios(spark.createDataFrame(rows, "portfolio_id string, v int"), at)
-    assert sorted((r.portfolio_id, r.v) for r in spark.read.parquet(at).collect()) == [("p", 9), ("q", 3)]
+    assert sorted((r.portfolio_id, r.v) for r in snapshots.portfolios(spark, at, "portfolio_id string, v int").collect()) == [("p", 9), ("q", 3)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf
@@ -78,29 +78,59 @@ def shock_grid(betas: DataFrame, values: DataFrame, shocks: list[tuple[str, str,
     return moved.select("portfolio_id", "scenario", "change", (F.col("change") * F.col("value")).alias("impact"))
 
 
-def stress(prices: DataFrame, weights: DataFrame, scenarios: list[tuple[str, str, str, str]]) -> DataFrame:
-    """scenario, region, portfolio_id, n_days, cumulative_return, impact, missing: what each portfolio's present positions returned in each scenario.
+def scenario_table(spark: SparkSession, scenarios: list[tuple[str, str, str, str]]) -> DataFrame:
+    """scenario, start, end, region from rows (name, first day, last day, region)."""
+    rows = spark.createDataFrame(scenarios, "scenario string, start string, end string, region string")
+    return rows.select("scenario", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"), "region")
 
-    scenarios, (name, first day, last day, region), is a parameter and stands in the plan: the prices are read once, and a row
-    goes to each scenario that holds its day. Returns are those between neighbours on the raw calendar of the scenario, on
-    days when all of the portfolio's assets that trade in it have one; the weights are those of these assets alone. missing
-    is the value of the others. A scenario without data stays, with a null return and all value missing."""
-    each = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b"), F.lit(r).alias("region")) for n, a, b, r in scenarios])
-    inside = prices.select("asset", "d", "px", F.inline(F.filter(each, lambda s: F.col("d").between(s["a"], s["b"])))).drop("a", "b", "region")
+
+def in_scenarios(prices: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """scenario, asset, d, px of the prices inside each of scenarios(scenario, start, end), both days included.
+
+    Scenarios are exploded to their months and meet the prices by month, then by the exact days; so the join has a key, and a
+    thousand scenarios are a table, not a plan. A scenario that ends before it starts has no month."""
+    months = F.when(F.col("start") <= F.col("end"), F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month")))
+    asked = scenarios.select("scenario", "start", "end", F.explode(months).alias("month"))
+    return prices.withColumn("month", F.trunc("d", "month")).join(asked, "month").where(F.col("d").between(F.col("start"), F.col("end"))).select("scenario", "asset", "d", "px")
+
+
+def stress(prices: DataFrame, weights: DataFrame, scenarios: DataFrame | list[tuple[str, str, str, str]], regions: list[str] | None = None) -> DataFrame:
+    """What each portfolio's present positions returned in each of scenarios(scenario, start, end, region), of the named regions alone if any are.
+
+    scenario, region, portfolio_id, n_days, cumulative_return, impact, missing, coverage, missing_assets. Returns are those between
+    neighbours on the raw calendar of the scenario, on days when all of the portfolio's assets that trade in it have one; the weights
+    are those of these assets alone. missing is the value of the others, coverage the share of the rest in the portfolio's value. A
+    scenario without data stays, with a null return, everything missing and no coverage. Days are settled for each set of assets
+    (see panel.asset_sets), and as a sum over days and assets may be taken in either order, a portfolio meets one row an asset."""
+    if not isinstance(scenarios, DataFrame):
+        scenarios = scenario_table(prices.sparkSession, scenarios)
+    if regions:
+        scenarios = scenarios.where(F.col("region").isin(regions))
+    held = weights if "set_id" in weights.columns else weights.withColumn("set_id", F.col("portfolio_id"))
+    inside = in_scenarios(prices, scenarios)
     days = inside.select("scenario", "d").distinct().withColumn("k", F.row_number().over(Window.partitionBy("scenario").orderBy("d")))
     w = Window.partitionBy("scenario", "asset").orderBy("d")
     ranked = clean(inside).join(days, ["scenario", "d"]).withColumns({"before": F.lag("px").over(w), "k0": F.lag("k").over(w)})
     moved = ranked.where("k0 = k - 1").select("scenario", "asset", "d", F.log(F.col("px") / F.col("before")).alias("r"))
-    own = ["scenario", "portfolio_id"]
-    active = clean(inside).select("scenario", "asset").distinct().join(weights, "asset").select(*own, "asset", "value")
-    held = active.groupBy(*own).agg(F.count("*").alias("assets"), F.sum("value").alias("held"))
-    daily = moved.join(active, ["scenario", "asset"]).groupBy(*own, "d").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("r")).alias("r"))
-    whole = daily.join(held, own).where("n = assets AND held > 0").groupBy(*own, "held").agg(F.count("*").alias("n_days"), F.sum(F.col("r") / F.col("held")).alias("r"))
-    asked = weights.groupBy("portfolio_id").agg(F.sum("value").alias("value")).select("portfolio_id", "value", F.inline(each))
-    cum = F.expm1("r")
-    return asked.join(whole, own, "left").select(
-        "scenario", "region", "portfolio_id", F.coalesce("n_days", F.lit(0).cast("long")).alias("n_days"), cum.alias("cumulative_return"), (F.col("held") * cum).alias("impact"), (F.col("value") - F.coalesce("held", F.lit(0.0))).alias("missing")
+    own = ["scenario", "set_id"]
+    active = clean(inside).select("scenario", "asset").distinct().join(held.select("set_id", "asset").distinct(), "asset")
+    size = active.groupBy(*own).agg(F.count("*").alias("assets"))
+    daily = moved.join(active, ["scenario", "asset"]).withColumn("n", F.count("*").over(Window.partitionBy(*own, "d")))
+    sums = daily.join(size, own).where("n = assets").groupBy(*own, "asset").agg(F.count("*").alias("n_days"), F.sum("r").alias("r"))
+    present = active.join(sums, [*own, "asset"], "left")
+    total = held.groupBy("portfolio_id").agg(F.sum("value").alias("value"), F.array_sort(F.collect_list("asset")).alias("assets"))
+    found = held.join(present, ["set_id", "asset"]).groupBy("portfolio_id", "scenario").agg(
+        F.sum("value").alias("held"), F.sum(F.col("value") * F.col("r")).alias("r"), F.max("n_days").alias("n_days"), F.collect_list("asset").alias("present")
     )
+    each = F.collect_list(F.struct("scenario", "region")).alias("each")
+    asked = total.join(F.broadcast(scenarios.agg(each))).select("portfolio_id", "value", "assets", F.inline("each"))  # one row, as long as the scenarios
+    cum = F.expm1(F.when(F.col("held") > 0, F.col("r") / F.col("held")))
+    rows = asked.join(found, ["portfolio_id", "scenario"], "left").withColumn("held", F.when(cum.isNotNull(), F.col("held")))
+    missing = F.array_except("assets", F.when(F.col("held").isNotNull(), F.col("present")).otherwise(F.array().cast("array<string>")))
+    return rows.select(
+        "scenario", "region", "portfolio_id", F.coalesce("n_days", F.lit(0).cast("long")).alias("n_days"), cum.alias("cumulative_return"), (F.col("held") * cum).alias("impact"),
+        (F.col("value") - F.coalesce("held", F.lit(0.0))).alias("missing"), F.try_divide(F.coalesce("held", F.lit(0.0)), F.col("value")).alias("coverage"), missing.alias("missing_assets"),
+    )
 
 
 def beat_deposit(series: DataFrame, annual: float | DataFrame | None, horizon: int = 252, least: int = 120) -> DataFrame:
@@ -109,7 +139,7 @@ def beat_deposit(series: DataFrame, annual: float | DataFrame | None, horizon: i
     annual: one rate for all, or annual(portfolio_id, annual) with each portfolio's own."""
     m = series.groupBy("portfolio_id").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
     m = m.join(annual, "portfolio_id", "left") if isinstance(annual, DataFrame) else m.withColumn("annual", F.lit(annual).cast("double"))
-    rate = F.log(1 + F.greatest(F.col("annual"), F.lit(-0.99))) / 252
+    rate = F.log(1 + F.greatest(F.col("annual"), F.lit(-0.99))) / 252  # of a null rate nothing is made below
     m = m.withColumn("sr", F.when(F.col("annual").isNotNull() & (F.col("sd") > 0), F.try_divide(F.col("mean") - rate, F.col("sd"))))
     point = F.col("sr") * F.sqrt(F.lit(float(horizon)))
     error = (1 + 0.5 * F.col("sr") ** 2) / F.col("n") * float(horizon)
@@ -117,13 +147,18 @@ def beat_deposit(series: DataFrame, annual: float | DataFrame | None, horizon: i
     return m.select("portfolio_id", "n", g(norm_cdf(-point / F.sqrt(1 + error))).alias("below"), g(norm_cdf(-point)).alias("below_point"))
 
 
-def value_path(series: DataFrame, values: DataFrame) -> DataFrame:
+def value_path(series: DataFrame, values: DataFrame, repeat_last: bool = False) -> DataFrame:
     """portfolio_id, point, d, value: the start value, then its growth by the returns; beyond 300 points every so many and the last.
 
-    The start is point 0 and has no date; the last point stands alone where thinning has already kept it."""
+    The start is point 0 and has no date; the last point stands alone where thinning has already kept it, or twice with repeat_last."""
     w = Window.partitionBy("portfolio_id").orderBy("i")
     grown = series.join(values.select("portfolio_id", "value"), "portfolio_id").select("portfolio_id", (F.col("i") + 1).alias("point"), "d", (F.col("value") * F.exp(F.sum("r").over(w))).alias("value"))
     whole = values.select("portfolio_id", F.lit(0).alias("point"), F.lit(None).cast("date").alias("d"), "value").unionAll(grown)
     counted = whole.withColumn("n", F.count("*").over(Window.partitionBy("portfolio_id")))
     step = F.when(F.col("n") > MOST_POINTS, F.floor(F.col("n") / MOST_POINTS) + 1).otherwise(1)
-    return counted.where((F.col("point") % step == 0) | (F.col("point") == F.col("n") - 1)).select("portfolio_id", "point", "d", "value")
+    last = F.col("point") == F.col("n") - 1
+    kept = counted.where((F.col("point") % step == 0) | last)
+    if repeat_last:
+        twice = last & (F.col("n") > MOST_POINTS) & (F.col("point") % step == 0)
+        kept = kept.withColumn("times", F.explode(F.sequence(F.lit(1), F.when(twice, 2).otherwise(1))))
+    return kept.select("portfolio_id", "point", "d", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,30 @@ def with_cash(panel: DataFrame, rates: DataFrame, name: str = "cash") -> DataFra
     return panel.unionByName(cash)
 
 
+def style_panel(prices: DataFrame, plain: dict[str, str], converted: dict[str, str], currency: str, rates: DataFrame | None = None, annual: float = 0.4, cash: str = "cash") -> DataFrame:
+    """factor, d, f: the factors that a fund's style is sought in, by name: plain ones, ones converted at the rate of exchange, and cash.
+
+    prices(asset, d, px). Changes are those from row to row of the calendar on which anything listed is quoted: a factor has none on a
+    day that it, or its row before, lacks; nothing is dropped for the others' sake, so that each fund loses only its own days (see
+    moments). A converted factor is the price times the currency's last known rate. Cash is the daily log return of rates(d, rate),
+    carried on along the calendar, or of the constant annual rate without them."""
+    used = [*plain.values(), *converted.values(), currency]
+    rows = prices.where(F.col("asset").isin(used)).select("asset", "d", F.when(F.col("px") > 0, F.col("px")).alias("px"))
+    day = rows.groupBy("d").agg(*[F.max(F.when(F.col("asset") == a, F.col("px"))).alias(f"x{k}") for k, a in enumerate(used)])
+    order = Window.orderBy("d")  # one row a day, made by an aggregate
+    day = day.withColumn("fx", F.last(f"x{len(used) - 1}", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    value = {n: F.col(f"x{k}") for k, n in enumerate(plain)} | {n: F.col(f"x{len(plain) + k}") * F.col("fx") for k, n in enumerate(converted)}
+    wide = day.select("d", *[v.alias(f"v{k}") for k, v in enumerate(value.values())])
+    change = [F.struct(F.lit(n).alias("factor"), F.log(F.col(f"v{k}") / F.lag(f"v{k}").over(order)).alias("f")) for k, n in enumerate(value)]
+    if rates is None:
+        idle = F.lit(math.log(1 + annual) / 252)
+    else:
+        wide = wide.join(rates.select("d", "rate"), "d", "left")
+        idle = F.log(1 + F.last("rate", True).over(order.rowsBetween(Window.unboundedPreceding, 0))) / 252
+    every = wide.select("d", F.array(*change, F.struct(F.lit(cash).alias("factor"), idle.alias("f"))).alias("a"))
+    return every.select("d", F.inline("a")).select("factor", "d", "f").where("f IS NOT NULL")
+
+
 def moments(targets: DataFrame, panel: DataFrame, names: list[str], max_lag: int = 0) -> DataFrame:
     """key, lag, n, sy, syy, sx, sxy, sxx of targets(key, d, r) on the named factors, on days on which all are known.
 

@@ -35,8 +35,8 @@ def rate_history(rates: DataFrame, taxed: bool = True) -> DataFrame:
 
 
 def daily_rate(annual: Column) -> Column:
-    """The log return of a day that a constant annual rate gives; what is below -99 % counts as that."""
-    return F.log(1 + F.greatest(annual, F.lit(-0.99))) / 252
+    """The log return of a day that a constant annual rate gives; what is below -99 % counts as that, null stays null."""
+    return F.log(1 + F.when(annual.isNotNull(), F.greatest(annual, F.lit(-0.99)))) / 252
 
 
 #: Kinds of a constant annual rate; every other kind names a currency.

@@ -51,6 +51,29 @@ def period_stats(values: DataFrame, least: int = 60, confidence: float = 0.99) -
     )
 
 
+def report_rows(valued: DataFrame, changes: DataFrame, place: str = "place") -> DataFrame:
+    """The rows of a report: portfolio_id, place, name, kind, quantity, amount, change, gain, and priced, false where there is no data.
+
+    valued: position_values and bonds with a column that gives their order, and their quantity (a bond's is its nominal). amount is in
+    the local currency; change is the period's (changes(name, change)), gain the profit as a share of the cost; bonds have neither."""
+    rows = valued.join(changes.select("name", "change"), "name", "left")
+    market = F.col("kind") != "bond"
+    return rows.select(
+        "portfolio_id", F.col(place).alias("place"), "name", "kind", "quantity", F.col("local_value").alias("amount"), F.when(market & ~F.col("failed"), F.col("change")).alias("change"),
+        F.when(market, F.col("pnl_pct") / 100).alias("gain"), (~F.col("failed")).alias("priced"),
+    )
+
+
+def report_totals(rows: DataFrame) -> DataFrame:
+    """portfolio_id, total, bonds, market, n_priced of report rows; a portfolio with neither a priced position nor the value of a bond has no report and no row."""
+    bond = F.col("kind") == "bond"
+    zero = F.lit(0.0)
+    sums = rows.groupBy("portfolio_id").agg(
+        F.coalesce(F.sum("amount"), zero).alias("total"), F.coalesce(F.sum(F.when(bond, F.col("amount"))), zero).alias("bonds"), F.count_if(~bond & F.col("priced")).alias("n_priced")
+    )
+    return sums.where("n_priced > 0 OR bonds > 0").select("portfolio_id", "total", "bonds", (F.col("total") - F.col("bonds")).alias("market"), "n_priced")
+
+
 def search(universe: DataFrame, taken: DataFrame, text: str, categories: list[str], first: int = 60) -> DataFrame:
     """The first instruments(name, category) by name whose category is asked for, that hold the text in any case, and aren't taken(name)."""
     fit = universe.where(F.col("category").isin(categories) & F.contains(F.lower("name"), F.lit(text.lower())))

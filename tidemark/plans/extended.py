@@ -43,12 +43,16 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _local(spark: SparkSession, d: str) -> DataFrame:
-    return V.local_prices(_quotes(spark, d), _positions(spark, d).select("name", "ticker", "currency", "source").distinct(), FX, GOLD)
+    return _instruments(spark, d).withColumnRenamed("ticker", "name").select("name", "d", "px", "native")
+
+
+def _instruments(spark: SparkSession, d: str) -> DataFrame:
+    return V.local_prices(_quotes(spark, d), _positions(spark, d), FX, GOLD, V.INSTRUMENT)
 
 
 def _market(spark: SparkSession, d: str) -> DataFrame:
-    last = _local(spark, d).groupBy("name").agg(F.max_by("native", "d").alias("last"))
-    return V.position_values(_positions(spark, d), last, V.rate_now(_quotes(spark, d), FX))
+    last = _instruments(spark, d).groupBy(*V.INSTRUMENT).agg(F.max_by("native", "d").alias("last"))
+    return V.position_values(_positions(spark, d), last, V.rate_now(_quotes(spark, d), FX, required=True), V.INSTRUMENT)
 
 
 def _bonds(spark: SparkSession, d: str) -> DataFrame:
@@ -130,19 +134,6 @@ def _recent_volume(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("asset").agg(F.count("*").alias("days"), F.avg("v").alias("adv")).where("days >= 10")
 
 
-def _score(spark: SparkSession, d: str) -> DataFrame:
-    """The score with all six components: the figures of one written series, effective bets and the expected fall among them."""
-    q = C.queries()
-    ask = lambda name, *columns: q[name](spark, d).select("portfolio_id", *columns)
-    parts = ask("q_sharpe_ci", F.col("low").alias("sharpe"))
-    for more in (
-        ask("q_fhs", F.try_divide("es_fhs", "var_fhs").alias("tail_ratio")), ask("q_headline_var", "zone"), ask("q_real", "prob_loss"), ask("q_drawdown", "max_drawdown", "calmar"),
-        _concentration(spark, d).select("portfolio_id", "n_assets", "effective_bets"), U.expected_drawdown(C._series(spark, d)).drop("n"),
-    ):
-        parts = parts.join(more, "portfolio_id", "left")
-    return A.composite_score(parts)
-
-
 def _search(spark: SparkSession, d: str) -> DataFrame:
     parts = S.table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"))
     taken = S.table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_name").alias("name"))
@@ -182,7 +173,6 @@ def queries() -> dict:
         "q_concentration": rounded(_concentration),
         "q_hrp": rounded(lambda spark, d: U.hierarchical_parity(_moments(spark, d), C._weights(spark, d))),
         "q_expected_drawdown": series(U.expected_drawdown, 6),
-        "q_score_full": _score,
         "q_corr_matrix": _matrix,
         "q_ewma_var": series(lambda s: R.parametric(R.ewma_path(s))),
         "q_lvar": rounded(_liquidity_var),
@@ -275,10 +265,12 @@ bets AS (SELECT exp(-(e1 / 3 * ln(e1 / 3) + (3 - e1 - e3) / 3 * ln((3 - e1 - e3)
 vl AS (SELECT portfolio_id, sqrt(sum(p.w * q.w * cov)) AS vol FROM cov JOIN weights p USING (portfolio_id) JOIN weights q USING (portfolio_id) WHERE p.asset = cov.a AND q.asset = cov.b GROUP BY 1),
 al AS (SELECT portfolio_id, count(*) AS n_assets, sum(w * w) AS h, sum(w * sqrt(c)) AS v FROM weights JOIN cv ON a = asset AND b = asset GROUP BY 1)
 SELECT portfolio_id, n_assets, round(h, 6) AS hhi, round(1 / h, 6) AS effective_positions, round(v / vol, 6) AS diversification_ratio, round(eb, 6) AS effective_bets FROM al JOIN vl USING (portfolio_id) CROSS JOIN bets""",
-        "q_hrp": C.BASE.rstrip() + pairs + """, lv AS (SELECT *, greatest(an, ar, nr) AS top FROM one), tr AS (SELECT 'A' AS l, va AS v1, CASE WHEN TRUE THEN 'N' END AS m, vn AS v2, 'R' AS o, vr AS v3, cnr AS c FROM lv),
-hw AS (SELECT *, v3 / (v2 + v3) AS i2, v2 / (v2 + v3) AS i3 FROM tr), hv2 AS (SELECT *, i2 * i2 * v2 + i3 * i3 * v3 + 2 * i2 * i3 * c AS vc FROM hw), al AS (SELECT *, 1 - v1 / (v1 + vc) AS s FROM hv2),
-res AS (SELECT unnest(['A', 'N', 'R']) AS asset, unnest([s, (1 - s) * (1 - v2 / (v2 + v3)), (1 - s) * (v2 / (v2 + v3))]) AS weight FROM al)
-SELECT portfolio_id, asset, round(weight, 6) AS weight, FALSE AS cash_like FROM weights JOIN res USING (asset)""",
+        "q_hrp": C.BASE.rstrip() + pairs + """, near AS (SELECT *, CASE WHEN an >= ar AND an >= nr THEN ['A', 'N', 'R'] WHEN ar >= nr THEN ['A', 'R', 'N'] ELSE ['A', 'N', 'R'] END AS leaves FROM one),
+leaf AS (SELECT leaves, MAP {'A': va, 'N': vn, 'R': vr} AS v, MAP {'AN': can, 'NA': can, 'AR': car, 'RA': car, 'NR': cnr, 'RN': cnr} AS c FROM near),
+halves AS (SELECT leaves, v[leaves[1]] AS v1, v[leaves[2]] AS v2, v[leaves[3]] AS v3, c[leaves[2] || leaves[3]] AS c FROM leaf),
+inverse AS (SELECT *, v3 / (v2 + v3) AS i2, v2 / (v2 + v3) AS i3 FROM halves), second AS (SELECT *, i2 * i2 * v2 + i3 * i3 * v3 + 2 * i2 * i3 * c AS vc FROM inverse), split AS (SELECT *, 1 - v1 / (v1 + vc) AS s FROM second),
+res AS (SELECT unnest(leaves) AS asset, unnest([s, (1 - s) * i2, (1 - s) * i3]) AS weight, least(v1, v2, v3) AS low FROM split), own AS (SELECT a AS asset, sqrt(c * 252) < 0.05 AS cash FROM cv WHERE a = b)
+SELECT portfolio_id, asset, CASE WHEN sqrt(low * 252) >= 0.05 THEN round(weight, 6) END AS weight, cash AS cash_like FROM weights JOIN res USING (asset) JOIN own USING (asset)""",
         "q_corr_matrix": C.BASE + " SELECT p.asset AS a, q.asset AS b, CASE WHEN p.asset = q.asset THEN 1.0 ELSE round_even(corr(p.r, q.r), 4) END AS rho FROM returns p JOIN returns q USING (d) GROUP BY 1, 2, p.asset = q.asset",
         "q_ewma_var": C.BASE.rstrip() + C.EWMA.rstrip() + f""" SELECT portfolio_id, CASE WHEN count(*) >= 120 THEN round({z!r}::DOUBLE * sqrt(0.94 * pow(max_by(sigma, i), 2) + 0.06 * pow(max_by(r, i), 2)), 8) END AS var_ewma,
 CASE WHEN count(*) >= 120 THEN round({-normal.pdf(z) / (1 - 0.99)!r}::DOUBLE * sqrt(0.94 * pow(max_by(sigma, i), 2) + 0.06 * pow(max_by(r, i), 2)), 8) END AS es_ewma FROM ewma GROUP BY 1""",

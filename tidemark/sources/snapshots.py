@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import Store
+
 SCHEMA = "asset string, d date, px double"
 
 
@@ -25,15 +27,32 @@ def with_fallback(fresh: DataFrame, kept: DataFrame) -> DataFrame:
     return fresh.select("asset", "d", "px").unionByName(kept.join(fresh.select("asset").distinct(), "asset", "left_anti").select("asset", "d", "px"))
 
 
+def store(spark: SparkSession, path: str) -> Store:
+    """The store of price snapshots, by asset."""
+    return Store(spark, path, "asset", SCHEMA)
+
+
 def save(prices: DataFrame, path: str) -> None:
-    """Writes a snapshot in place of the one there, as CSV without a header, a folder an asset."""
-    prices.select("asset", "d", "px").repartition("asset").sortWithinPartitions("d").write.mode("overwrite").partitionBy("asset").csv(path)
+    """Keeps the prices of the assets that there are some of; the snapshots of all others stay as they are."""
+    store(prices.sparkSession, path).replace(prices.select("asset", "d", "px"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("d date, px double, asset string").csv(path).select("asset", "d", "px")
+    return store(spark, path).read()
+
+
+def refreshed(fresh: DataFrame, path: str) -> DataFrame:
+    """with_fallback of fresh and what is kept, after what is fresh has been kept too."""
+    kept = load(fresh.sparkSession, path)
+    save(fresh, path)
+    return with_fallback(fresh, kept)
+
+
+def replace_portfolios(rows: DataFrame, path: str, portfolios: DataFrame | None = None, key: str = "portfolio_id") -> None:
+    """Replaces the rows of the named portfolios, or of those that rows hold, and leaves all others; a named one without rows is emptied."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    Store(rows.sparkSession, path, key, kinds).replace(rows, portfolios)
 
 
-def replace_portfolios(rows: DataFrame, path: str) -> None:
-    """Replaces the rows of the portfolios that rows hold and leaves all others, by overwriting their partitions alone."""
-    rows.repartition("portfolio_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("portfolio_id").parquet(path)
+def portfolios(spark: SparkSession, path: str, schema: str, key: str = "portfolio_id") -> DataFrame:
+    return Store(spark, path, key, schema).read()
