@@ -103,7 +103,7 @@ def windows(rows: DataFrame, level: int, length: int = LENGTH, before: tuple[int
 
 
 def _repeated(posted: DataFrame) -> DataFrame:
-    """row and at (array of x without the hash's bits) of what is posted more than once.
+    """row and at (set of x without the hash's bits, so that copies of one row add nothing) of what is posted more than once.
 
     The condition names all columns, and h alone is the join's key, so that the rows counted and those joined are one shuffle's."""
     whole = posted.where("row IS NOT NULL AND h IS NOT NULL AND shiftrightunsigned(x, 40) IS NOT NULL")  # as the joins infer for one of the two alone
@@ -111,7 +111,7 @@ def _repeated(posted: DataFrame) -> DataFrame:
     several = (F.col("n") > 1) | (F.col("r") != F.col("r0")) | (F.col("y") != F.col("y0"))
     counted = dealt.groupBy("h", "more").agg(F.count("*").alias("n"), F.min("row").alias("r"), F.max("row").alias("r0"), F.min("x").alias("y"), F.max("x").alias("y0"))
     twice = counted.where(several).select(F.col("h").alias("hash"), F.col("more").alias("other"))
-    return dealt.join(twice, F.expr("h = hash AND (more ^ other) = 0"), "left_semi").groupBy("row").agg(F.collect_list(F.expr(f"x & {(1 << 40) - 1}L")).alias("at"))
+    return dealt.join(twice, F.expr("h = hash AND (more ^ other) = 0"), "left_semi").groupBy("row").agg(F.collect_set(F.expr(f"x & {(1 << 40) - 1}L")).alias("at"))
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
