@@ -213,3 +213,47 @@ def test_queries_on_their_tables(spark):
     scored = queries.queries()["op13_scoring"](spark, DATA).collect()
     held = [x for x in scored if x.held_out]
     assert len(scored) == 200 and sum(x.score for x in held) > sum(x.base_score for x in held)
+
+
+# --- what was weak
+
+
+def test_copies_of_one_row_cost_and_lose_the_same(spark):
+    from tidemark.llm import substrings
+
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string").crossJoin(spark.range(500)).drop("id").unionAll(spark.createDataFrame([(2, "alone " * 34)], "doc_id long, text string"))
+    got = substrings.remove_repeats(rows).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 300, 300, 500), (2, 34, 0, 1)]
+
+
+def test_first_names_keep_their_gender_at_all_draws_and_own_columns_of_added_names_are_replaced(spark):
+    from tidemark.llm import pii
+
+    letters = "abcdefghijklmnopqrst"
+    names = [(g, f"{a.upper()}{b}{c}o") for g in "mf" for a in letters[:4] for b in letters[:5] for c in letters[:3]]
+    rows = [(i, f"{'Mr.' if g == 'm' else 'Mrs.'} {n} Smith came", 7, 8) for i, (g, n) in enumerate(names)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_pii long, `a.b` long"), b"k").collect()}
+    assert {r.n_pii for r in got.values()} == {1} and {r["a.b"] for r in got.values()} == {8}
+    first = {g: [got[i].text.split()[1].lower() for i, (h, _) in enumerate(names) if h == g] for g in "mf"}
+    assert len(set(first["m"])) == len(set(first["f"])) == 60 and not set(first["m"]) & set(first["f"])
+    for g in "mf":
+        ends = tuple(pii.ENDINGS[g, "latin"]) + tuple(x.lower() for x in pii.FIRST[g, "latin"])
+        assert all(x.endswith(ends) for x in first[g])
+    assert not any(a.endswith(b) for a in pii.ENDINGS["m", "latin"] for b in pii.ENDINGS["f", "latin"])
+
+
+def test_the_quality_stage_carries_columns_of_any_name(spark):
+    import corpus_pipeline
+    from tidemark.llm import quality
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumns({"keep": F.lit("own"), "expected_grade": F.lit(1), "a.b": F.lit(2)})
+    scored = quality.score(odd, model)
+    assert scored.columns.count("keep") == 1 and dict(scored.dtypes)["keep"] == "boolean"
+    stage = corpus_pipeline.keep_quality(spark, odd, DATA)
+    assert stage.columns == odd.columns and {r.keep for r in stage.collect()} <= {"own"} and stage.count() == scored.where("keep").count()
+    assert quality.kept(odd.limit(0), model).count() == 0

@@ -90,6 +90,15 @@ def _checksum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+#: Endings of first names that are put together, by gender and script; no ending of one gender ends a name of the other.
+ENDINGS = {
+    ("m", "latin"): ["ron", "tor", "dan", "vik", "mas", "len", "gar", "bert", "nik", "lor", "ric", "mir", "wald", "ken", "pol", "sten"],
+    ("f", "latin"): ["ra", "tia", "dana", "via", "lena", "gara", "nika", "lora", "zana", "rica", "mira", "bela", "kena", "pola", "sia", "lia"],
+    ("m", "cyrillic"): ["рон", "тор", "дан", "вик", "мас", "лен", "гар", "берт", "ник", "лор", "рик", "мир", "вальд", "кен", "пол", "стен"],
+    ("f", "cyrillic"): ["ра", "тия", "дана", "вия", "лена", "гара", "ника", "лора", "зана", "рика", "мира", "бела", "кена", "пола", "сия", "лия"],
+}
+
+
 def _draw(key: bytes, kind: Column, norm: Column, attempt: int) -> Column:
     """The surrogate's normal form that an entity draws at an attempt."""
     stream, grown = keyed(key, F.concat_ws("|", kind, norm, F.lit(str(attempt)))), attempt // DRAWS
@@ -122,7 +131,8 @@ def _draw(key: bytes, kind: Column, norm: Column, attempt: int) -> Column:
         made = syllables(s, 5 + grown)
         for gender in "mf":
             listed = F.element_at(F.array(*[F.lit(x.lower()) for x in FIRST[gender, s]]), number(F.lit(0)) % 16 + 1)
-            name = F.when((kind == f"first_{gender}") & (script == s), listed if attempt == 0 else syllables(s, 2 + grown)).otherwise(name)
+            ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS[gender, s]]), number(F.lit(40)) % len(ENDINGS[gender, s]) + 1)
+            name = F.when((kind == f"first_{gender}") & (script == s), listed if attempt == 0 else F.concat(syllables(s, 2 + grown), ending)).otherwise(name)
         name = F.when((kind == "last") & (script == s), made).otherwise(name)
     named = kind.isin("first_m", "first_f", "last")
     return F.when(kind == "ip", octets).when(named, name).when((kind == "email") & norm.contains("@"), email).when(kind == "phone", phone).when(kind == "card", card).otherwise(spelled)
@@ -160,7 +170,7 @@ def _written(hit: Column, kind: Column, norm: Column, surrogate: Column) -> Colu
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """docs with every entity of the text replaced, and n_pii, the number replaced; all other columns as they are.
+    """docs with every entity of the text replaced, and n_pii, the number replaced, in place of a column of that name; all others as they are.
 
     key: a secret of the run; who has it can draw the surrogates again. Kinds: e-mail and IP addresses, card, phone and social
     security numbers, and names after a title (a last name that stands alone is no entity). Null texts stay null. Repeated
@@ -176,6 +186,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     whole = lambda c: F.array_join(F.col(f"p.{c}"), " ")
     new = joined.select("rk_id", "rk_text", F.struct("place", _written(F.col("hit"), F.col("hit_kind"), whole("norm"), whole("surrogate")).alias("new")).alias("s"))
     of = new.groupBy("rk_id", "rk_text").agg(F.array_sort(F.collect_list("s")).alias("news"))
+    docs = docs.drop("n_pii")
     names = [(c, f"__{i}") for i, c in enumerate(docs.columns)]  # docs may have columns of any name
     marked = docs.where(has).select(*[F.col(f"`{c}`").alias(n) for c, n in names], *[k.alias(f"__{n}") for k, n in zip(row_key(), ("id", "hash"), strict=True)])
     both = marked.join(of, F.expr("__id <=> rk_id AND __hash = rk_text"))

@@ -132,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(np.asarray(made.buckets, np.int64), np.asarray(made.weights, float), np.asarray(made.thresholds, float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with expected_grade, tail_probability (of the top grade) and keep. Null text: as empty. Every row is scored on its whole text."""
+def _judged(docs: DataFrame, model: Model) -> DataFrame:
+    """docs and __judged, a struct of the expected grade and the tail probability."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2**18 weights
 
@@ -142,5 +142,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         tails = shared.value.tails([(t or "").encode() for t in texts])
         return pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, -1]})
 
-    both = docs.withColumn("__judged", judge("text"))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__judged.expected").alias("expected_grade"), F.col("__judged.tail").alias("tail_probability"), (F.col("__judged.tail") >= KEEP_AT).alias("keep"))
+    return docs.withColumn("__judged", judge("text"))
+
+
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that `score` would keep, with the columns of docs as they are, whatever their names."""
+    return _judged(docs, model).where(F.col("__judged.tail") >= KEEP_AT).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with expected_grade, tail_probability (of the top grade) and keep, in place of columns of these names.
+
+    Null text: as empty; repeated rows are judged alike; an empty table gives no rows. Every row is scored on its whole text."""
+    others = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "keep")]
+    both = _judged(docs, model)
+    return both.select(*[F.col(f"`{c}`") for c in others], F.col("__judged.expected").alias("expected_grade"), F.col("__judged.tail").alias("tail_probability"), (F.col("__judged.tail") >= KEEP_AT).alias("keep"))
