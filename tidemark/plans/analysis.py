@@ -44,10 +44,6 @@ def _lazy(spark: SparkSession, d: str) -> Y.Book:
     return Y.Book(S.gap_prices(spark, d), S.gap_holdings(spark, d))
 
 
-def _main(spark: SparkSession, d: str) -> Y.Book:
-    return Y.Book(S.prices(spark, d), S.holdings(spark, d), keep=K.written)
-
-
 def _choices(spark: SparkSession, d: str) -> DataFrame:
     """Each book's benchmark by its nation: a rate, a deposit, an overnight rate, one of two currencies, or none."""
     k = F.element_at(F.split("portfolio_id", "/"), -1).cast("int")
@@ -67,7 +63,7 @@ def _benchmarked(spark: SparkSession, d: str, asof: bool = False) -> DataFrame:
 
 def _score(spark: SparkSession, d: str) -> DataFrame:
     """The score's parts from one book: its figures, the Sharpe ratio's lower bound, bets, inflation and falls."""
-    book = _main(spark, d)
+    book = C._book(spark, d)
     return A.composite_score(_parts(spark, d, book))
 
 

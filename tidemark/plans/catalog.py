@@ -13,7 +13,9 @@ from tidemark.operators import bonds as B
 from tidemark.operators import exposure as E
 from tidemark.operators import panel as N
 from tidemark.operators import risk as R
+from tidemark.operators.book import Book
 from tidemark.sources import roles as S
+from tidemark.sources import tables as K
 
 SCENARIOS = [("mid_1996", "1996-05-01", "1996-09-30", "A"), ("autumn_1998", "1998-08-01", "1998-10-31", "A"), ("spring_2000", "2000-03-01", "2000-06-30", "B"), ("before_data", "1980-01-01", "1980-12-31", "B")]
 
@@ -92,21 +94,27 @@ def _shocks(spark: SparkSession, d: str) -> DataFrame:
     return E.shock_grid(E.factor_betas(_series(spark, d), factors), _values(spark, d), SHOCKS)
 
 
-def _cov(spark: SparkSession, d: str) -> DataFrame:
-    return A.shrunk_covariance(A.pair_moments(_returns(spark, d)), _weights(spark, d))
+def _book(spark: SparkSession, d: str) -> Book:
+    """The segments' portfolios; what several figures read is written once."""
+    return Book(S.prices(spark, d), S.holdings(spark, d), keep=K.written)
 
 
 def _attribution(spark: SparkSession, d: str) -> DataFrame:
-    return A.attribution(_cov(spark, d), _weights(spark, d), R.historical_var(_series(spark, d)))
+    book = _book(spark, d)
+    return A.attribution(book.covariance, book.weights, R.historical_var(book.series))
 
 
 def _score(spark: SparkSession, d: str) -> DataFrame:
-    """The score from the figures of the other queries, as they report them."""
-    q = queries()
-    ask = lambda name, *columns: q[name](spark, d).select("portfolio_id", *columns)
-    parts = ask("q_sharpe_ci", F.col("low").alias("sharpe")).join(ask("q_fhs", F.try_divide("es_fhs", "var_fhs").alias("tail_ratio")), "portfolio_id", "left")
-    parts = parts.join(ask("q_headline_var", "zone"), "portfolio_id", "left").join(ask("q_real", "prob_loss"), "portfolio_id", "left")
-    return A.composite_score(parts.join(ask("q_drawdown", "max_drawdown", "calmar"), "portfolio_id", "left"))
+    """The score from figures of one written series, rounded as the other queries report them."""
+    book = _book(spark, d)
+    s, ask = book.series, lambda df, *columns, digits=6: _rounded(df, digits).select("portfolio_id", *columns)
+    parts = ask(R.sharpe_confidence(s, 0.0001), F.col("low").alias("sharpe"))
+    for more in (
+        ask(R.filtered_historical(book.path), F.try_divide("es_fhs", "var_fhs").alias("tail_ratio"), digits=8), T.headline(book.models).select("portfolio_id", "zone"),
+        ask(A.real_returns(s, S.price_index(spark, d)), "prob_loss"), ask(R.drawdown(s), "max_drawdown", "calmar"),
+    ):
+        parts = parts.join(more, "portfolio_id", "left")
+    return A.composite_score(parts)
 
 
 def queries() -> dict:
@@ -138,7 +146,7 @@ def queries() -> dict:
         "q_srri": series(R.srri, 6),
         "q_concentration_hhi": lambda spark, d: _rounded(R.concentration(_weights(spark, d))),
         "q_beta_1f": lambda spark, d: _rounded(R.beta((r := _returns(spark, d)), r.groupBy("set_id", "d").agg(F.avg("r").alias("f"))).drop("set_id"), 6),
-        "q_lw_cov": lambda spark, d: _rounded(_cov(spark, d).select("portfolio_id", "a", "b", "shrinkage", (F.col("cov") * 1e4).alias("cov"))),
+        "q_lw_cov": lambda spark, d: _rounded(_book(spark, d).covariance.select("portfolio_id", "a", "b", "shrinkage", (F.col("cov") * 1e4).alias("cov"))),
         "q_attribution": lambda spark, d: _rounded(_attribution(spark, d), 4),
         "q_real": lambda spark, d: _rounded(A.real_returns(_series(spark, d), S.price_index(spark, d)), 6),
         "q_score": _score,

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from math import log
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import allocation as A
 from tidemark.operators import bonds as B
 from tidemark.operators import exposure as E
 from tidemark.operators import factors as X
-from tidemark.operators import panel as N
 from tidemark.operators import rates as I
 from tidemark.operators import reports as P
 from tidemark.operators import risk as R
@@ -99,12 +96,14 @@ def _factor_shocks(spark: SparkSession, d: str) -> DataFrame:
     return X.real_impact(E.shock_grid(betas, C._values(spark, d), SHOCKS), SHOCKS, FX)
 
 
-def _moments(spark: SparkSession, d: str) -> DataFrame:
-    return A.pair_moments(C._returns(spark, d))
+def _concentration(spark: SparkSession, d: str) -> DataFrame:
+    book = C._book(spark, d)
+    return U.concentration(book.moments, book.covariance, book.weights)
 
 
-def _concentration(spark: SparkSession, d: str) -> DataFrame:
-    return U.concentration(_moments(spark, d), C._cov(spark, d), C._weights(spark, d))
+def _parity(spark: SparkSession, d: str) -> DataFrame:
+    book = C._book(spark, d)
+    return U.hierarchical_parity(book.moments, book.weights)
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +170,7 @@ def queries() -> dict:
         "q_style": rounded(lambda spark, d: X.style(_sums(spark, d, 1), FACTORS)),
         "q_style_panel": rounded(lambda spark, d: X.with_cash(X.log_panel(S.sparse_prices(spark, d).withColumnRenamed("asset", "factor")), I.rate_history(_rates(spark, d)))),
         "q_concentration": rounded(_concentration),
-        "q_hrp": rounded(lambda spark, d: U.hierarchical_parity(_moments(spark, d), C._weights(spark, d))),
+        "q_hrp": rounded(_parity),
         "q_expected_drawdown": series(U.expected_drawdown, 6),
         "q_corr_matrix": _matrix,
         "q_ewma_var": series(lambda s: R.parametric(R.ewma_path(s))),
