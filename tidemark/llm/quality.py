@@ -22,7 +22,7 @@ from tidemark.llm._common import chunks_of, hash_tokens, mix
 BUCKETS = 1 << 18
 #: At most so many labelled rows are fitted on: those with the least hash of their id.
 SAMPLE = 20_000
-LEAST_DOCS, LEAST_Z, STEPS, RIDGE = 5, 4.0, 400, 1e-3
+LEAST_DOCS, STEPS, RIDGE = 5, 400, 1e-3
 KEEP_AT = 0.5
 #: Words count by their first so many bytes too, for what inflection and compounds hide.
 BEGINNINGS = (5, 6, 7)
@@ -69,7 +69,9 @@ class Model:
 
 
 def fit_rows(grades: np.ndarray, lists: list[np.ndarray], levels: int = GRADES) -> Model:
-    """The model from graded feature lists: screening by the buckets' relation to the grade, then Adam on the likelihood."""
+    """The model from graded feature lists: screening by the buckets' relation to the grade, then Adam on the likelihood.
+
+    A bucket passes where its relation is worth more than it costs by the Bayesian information criterion: z ** 2 >= log(rows)."""
     n = len(grades)
     y = grades.astype(float)
     rows = np.repeat(np.arange(n), [len(x) for x in lists])
@@ -81,7 +83,7 @@ def fit_rows(grades: np.ndarray, lists: list[np.ndarray], levels: int = GRADES)
         return Model(np.zeros(0, np.int64), np.zeros(0), thresholds)
     df, total = np.bincount(cols, minlength=BUCKETS), np.bincount(cols, y[rows], BUCKETS)
     spread = np.sqrt(np.maximum(df * (1 - df / n), 1e-9)) * y.std()
-    chosen = np.flatnonzero((df >= LEAST_DOCS) & (np.abs(total - df * y.mean()) / spread >= LEAST_Z))
+    chosen = np.flatnonzero((df >= LEAST_DOCS) & ((total - df * y.mean()) ** 2 >= np.log(n) * spread**2))
     index = np.full(BUCKETS, -1)
     index[chosen] = np.arange(len(chosen))
     held = index[cols] >= 0
