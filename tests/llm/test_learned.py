@@ -42,7 +42,7 @@ def test_urls_of_other_hosts_and_paths(spark):
 
 
 def test_grades_of_held_out_documents(spark):
-    """On sf0.1: the smaller tables have too few labelled rows of the rare grades for any bucket to pass the screening."""
+    """On sf0.1, whose halves have enough rows of the rare grades for the bound below."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
     held = labels.where("doc_id % 2 = 1").groupBy("doc_id").agg(quality.grade(F.min("quality"), F.max("toxic")).alias("grade"))
