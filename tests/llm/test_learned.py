@@ -1,5 +1,6 @@
 """What is learned, against plain re-computations, planted cases and held-out rows."""
 
+import math
 import random
 
 import numpy as np
@@ -53,6 +54,33 @@ def test_grades_of_held_out_documents(spark):
             assert (by[low][:, None] < by[high][None, :]).mean() >= 0.9
 
 
+def test_the_fit_ends_where_the_plain_likelihood_is_flat():
+    """The penalised negative log-likelihood of the cumulative-link model, written out row by row, and its slopes by differences."""
+    r = random.Random(4)
+    grades, lists = [], []
+    for _ in range(400):
+        held = [b for b in range(8) if r.random() < 0.4]
+        pull = sum((1.5, -1.5, 1.0, -1.0, 0, 0, 0, 0)[b] for b in held) + r.gauss(0, 1)
+        grades.append(0 if pull < -1 else 1 if pull < 0.3 else 2)
+        lists.append(np.array(held, np.int64))
+    model = quality.fit_rows(np.array(grades), lists)
+    assert {0, 1} <= set(model.buckets.tolist()) and (np.diff(model.thresholds) > 0).all()
+    place = {b: i for i, b in enumerate(model.buckets.tolist())}
+
+    def loss(x):
+        w, cuts = x[: len(place)], x[len(place) :]
+        total = 0.0
+        for g, held in zip(grades, lists, strict=True):
+            score = sum(w[place[b]] for b in held.tolist() if b in place)
+            tails = [1.0, *(1 / (1 + math.exp(t - score)) for t in cuts), 0.0]
+            total -= math.log(tails[g] - tails[g + 1])
+        return total / len(grades) + quality.RIDGE / 2 * sum(v * v for v in w)
+
+    at = np.concatenate([model.weights, model.thresholds])
+    for step in np.eye(len(at)) * 1e-5:
+        assert abs(loss(at + step) - loss(at - step)) / 2e-5 < 5e-3
+
+
 def test_items_of_any_length_and_paraphrases(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("aeioukrstlmn") for _ in range(r.randint(4, 9)))
