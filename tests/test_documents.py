@@ -155,3 +155,9 @@ def test_simulations_keep_the_path_of_what_is_covered(spark):
     assert [x["date"] for x in even["series"][-2:]] == [str(day(378))] * 2  # the last point stands twice where thinning has kept it
 
 
+def test_simulations_start_from_a_sum_that_no_order_of_rows_changes(spark):
+    prices = spark.createDataFrame([(a, day(i), 1.0) for a in "abc" for i in range(3)], "asset string, d date, px double")
+    holdings = spark.createDataFrame([("p", "a", 1e16), ("p", "b", 1.0), ("p", "c", 1.0)], "portfolio_id string, asset string, quantity double")  # one at a time, the ones are lost
+    w = panel.weights(holdings, prices, panel.asset_sets(prices, holdings)[0])
+    text = documents.simulation(prices, w, str(day(0)), str(day(2)), money=2).first().document
+    assert '"base_value":10000000000000002.00,' in text and '{"date":"2020-01-01","value":10000000000000002.00}' in text

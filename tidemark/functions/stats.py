@@ -35,3 +35,14 @@ def chi2_1_p(lr: Column) -> Column:
 
 def safe_ln(x: Column) -> Column:
     return F.log(F.greatest(x, F.lit(1e-12)))
+
+
+def compensated_sum(values: Column) -> Column:
+    """The sum of an array of doubles with what each addition loses to rounding carried along: right to the last bit but for rare cases, in any order."""
+
+    def add(a: Column, x: Column) -> Column:
+        t = a["s"] + x
+        lost = F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])
+        return F.struct(t.alias("s"), (a["c"] + lost).alias("c"))
+
+    return F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), add, lambda a: a["s"] + a["c"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import locale
+from tidemark.functions.stats import compensated_sum
 from tidemark.operators import backtest, exposure, panel, rates, risk
 from tidemark.operators.book import Book, attribution, diversification
 
@@ -21,26 +22,26 @@ CENTS = 2
 MONEY = {"value", "var_value", "sum_var", "portfolio_var", "benefit", "impact", "component", "incremental", "base_value", "final_value"}
 
 
-def _plain(df: DataFrame, columns: list[str], digits: int) -> list[Column]:
-    """The columns, fractions as decimals of so many digits, amounts of CENTS, so that a number has one spelling."""
+def _plain(df: DataFrame, columns: list[str], digits: int, money: int = CENTS) -> list[Column]:
+    """The columns, fractions as decimals of so many digits, amounts of `money`, so that a number has one spelling."""
     kinds = dict(df.dtypes)
-    places = {c: CENTS if c in MONEY else digits for c in columns}
+    places = {c: money if c in MONEY else digits for c in columns}
     return [F.round(c, places[c]).cast(f"decimal(38,{places[c]})").alias(c) if kinds[c] == "double" else F.col(c) for c in columns]
 
 
-def single(name: str, df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
+def single(name: str, df: DataFrame, *columns: str, digits: int = DIGITS, money: int = CENTS) -> DataFrame:
     """portfolio_id, block, body: a block of the named columns, null where the first of them is."""
-    body = F.when(F.col(columns[0]).isNotNull(), F.to_json(F.struct(*_plain(df, list(columns), digits)), {"ignoreNullFields": "false"}))
+    body = F.when(F.col(columns[0]).isNotNull(), F.to_json(F.struct(*_plain(df, list(columns), digits, money)), {"ignoreNullFields": "false"}))
     return df.select("portfolio_id", F.lit(name).alias("block"), body.alias("body"))
 
 
-def listed(name: str, df: DataFrame, order: list[Column], *columns: str, digits: int = DIGITS) -> DataFrame:
+def listed(name: str, df: DataFrame, order: list[Column], *columns: str, digits: int = DIGITS, money: int = CENTS) -> DataFrame:
     """portfolio_id, block, body: a block of the named columns of all of a portfolio's rows, sorted by `order`, ties by the columns themselves.
 
     Descending keys are given negated; a null key sorts first, so nulls-last is F.col(x).isNull() before it. A portfolio's rows meet
     in one array: they are bounded by its positions, pairs or scenarios."""
     keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
-    rows = F.array_sort(F.collect_list(F.struct(*keys, F.struct(*_plain(df, list(columns), digits)).alias("row"))))
+    rows = F.array_sort(F.collect_list(F.struct(*keys, F.struct(*_plain(df, list(columns), digits, money)).alias("row"))))
     body = F.to_json(F.transform(rows, lambda x: x["row"]), {"ignoreNullFields": "false"})
     return df.groupBy("portfolio_id").agg(body.alias("body")).select("portfolio_id", F.lit(name).alias("block"), "body")
 
@@ -118,12 +119,13 @@ def report(rows: DataFrame, totals: DataFrame, stats: DataFrame, lang: str = "tr
     return document(totals, blocks, ["totals", "statistics", "rows", "allocation", "gains"])
 
 
-def simulation(prices: DataFrame, weights: DataFrame, start: str, end: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+def simulation(prices: DataFrame, weights: DataFrame, start: str, end: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, money: int = DIGITS) -> DataFrame:
     """portfolio_id, document: how each portfolio's present positions would have gone between two days, as one JSON text.
 
     The return is that of exposure.stress over the days, with its assets that are missing; the path is that of the others' present value
     along the days on which all of them trade, its first day before any return, thinned as exposure.value_path does. A portfolio without
-    a return between the days has nulls and no path. keep: as for Book, applied to what several blocks read."""
+    a return between the days has nulls and no path. keep: as for Book, applied to what several blocks read; money: digits of amounts.
+    The value at the start is summed in the order of the assets with what rounding loses, so that its cents don't depend on the order of rows."""
     spark = prices.sparkSession
     scenario = exposure.scenario_table(spark, [("range", start, end, "")])
     res = keep(exposure.stress(prices, weights, scenario), "stressed")
@@ -131,10 +133,11 @@ def simulation(prices: DataFrame, weights: DataFrame, start: str, end: str, keep
     covered = res.where("cumulative_return IS NOT NULL").select("portfolio_id", "missing_assets")
     held = weights.select("portfolio_id", "asset", "value").join(covered, "portfolio_id").where("NOT array_contains(missing_assets, asset)").drop("missing_assets")
     of, members = panel.asset_sets(inside, held)
-    total = F.sum("value").over(Window.partitionBy("portfolio_id"))
-    own = keep(held.withColumn("w", F.col("value") / total).join(of, "portfolio_id"), "covered")
+    positions = F.array_sort(F.collect_list(F.struct("asset", "value")).over(Window.partitionBy("portfolio_id")))
+    totalled = held.withColumn("total", compensated_sum(F.transform(positions, lambda x: x["value"])))
+    own = keep(totalled.withColumn("w", F.col("value") / F.col("total")).join(of, "portfolio_id"), "covered")
     series = panel.portfolio_returns(panel.set_returns(inside, members), own)
-    base = own.groupBy("portfolio_id", "set_id").agg(F.sum("value").alias("value"))
+    base = own.groupBy("portfolio_id", "set_id").agg(F.max("total").alias("value"))
     size = members.groupBy("set_id").agg(F.count("*").alias("k"))
     first = panel.clean(inside).join(members, "asset").groupBy("set_id", "d").agg(F.count("*").alias("n")).join(size, "set_id").where("n = k").groupBy("set_id").agg(F.min("d").alias("first"))
     path = exposure.value_path(series, base, repeat_last=True).join(base.join(first, "set_id").select("portfolio_id", "first"), "portfolio_id")
@@ -143,8 +146,8 @@ def simulation(prices: DataFrame, weights: DataFrame, start: str, end: str, keep
     figures = res.join(base.select("portfolio_id", F.col("value").alias("base_value")), "portfolio_id", "left").join(last, "portfolio_id", "left")
     figures = figures.withColumns({"start": F.lit(start), "end": F.lit(end)})
     blocks = [
-        single("result", figures.where("cumulative_return IS NOT NULL"), "start", "end", "cumulative_return", "impact", "base_value", "final_value"),
+        single("result", figures.where("cumulative_return IS NOT NULL"), "start", "end", "cumulative_return", "impact", "base_value", "final_value", money=money),
         single("missing_assets", figures.select("portfolio_id", "missing_assets"), "missing_assets"),
-        listed("series", path, [F.col("point")], "date", "value"),
+        listed("series", path, [F.col("point")], "date", "value", money=money),
     ]
     return document(weights, blocks, ["result", "missing_assets", "series"])

@@ -156,7 +156,7 @@ def _analysis(spark: SparkSession, d: str) -> DataFrame:
 
 def _simulation(spark: SparkSession, d: str) -> DataFrame:
     own = _book(spark, d)
-    return D.simulation(own.prices, own.weights, "1996-03-01", "1998-09-30", K.written)
+    return D.simulation(own.prices, own.weights, "1996-03-01", "1998-09-30", K.written, D.CENTS)
 
 
 def _by_customer(spark: SparkSession, d: str) -> DataFrame:
