@@ -257,3 +257,15 @@ def test_the_quality_stage_carries_columns_of_any_name(spark):
     stage = corpus_pipeline.keep_quality(spark, odd, DATA)
     assert stage.columns == odd.columns and {r.keep for r in stage.collect()} <= {"own"} and stage.count() == scored.where("keep").count()
     assert quality.kept(odd.limit(0), model).count() == 0
+
+
+def test_gathered_phrases_are_counted_in_little_memory():
+    import tracemalloc
+
+    half = collocations.GATHERED // 2
+    part = np.arange(half, dtype=np.uint64) // np.uint64(2), np.full(half, 7, np.uint64)
+    tracemalloc.start()
+    counts = collocations._counted([part, part]).column("f").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(counts) == {4} and len(counts) == half // 2 and peak < 128 << 20

@@ -21,8 +21,8 @@ from tidemark.llm._common import chunks_of, hash_words, materialise, mix
 
 #: Most bits of a level's table (64 MB), bits for each phrase as long as there is room, and bits of a part that one task fills.
 BITS, SPARSE, PART = 29, 32, 19
-#: Words or phrases gathered in a task before they are counted and passed on.
-GATHERED = 1 << 22
+#: Phrases gathered in a task before they are counted and passed on: about 100 MB with what sorting needs, for each task at a time.
+GATHERED = 1 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -109,15 +109,17 @@ def _held(table: np.ndarray, m: int, grams: np.ndarray) -> np.ndarray:
     return (table[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """p, w, f of the phrases of several texts, given as hashes of their first words and of their last."""
+    p, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, first, n = np.unique(_extended(p, w), return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(p[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], names=["p", "w", "f"])
+
+
 def count_phrases(docs: DataFrame, k: int, below: DataFrame) -> DataFrame:
     """p (hash of the first k - 1 words), w (of the last), f of the phrases of k words whose two parts of k - 1 words are among the hashes g of `below`."""
     held = docs.sparkSession.sparkContext.broadcast(bit_table(below))
 
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        p, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, first, n = np.unique(_extended(p, w), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(p[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], names=["p", "w", "f"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, m = held.value
         parts, gathered = [], 0
@@ -128,10 +130,10 @@ def count_phrases(docs: DataFrame, k: int, below: DataFrame) -> DataFrame:
             parts.append((grams[at], t.words[at + k - 1]))
             gathered += len(at)
             if gathered >= GATHERED:
-                yield counted(parts)
+                yield _counted(parts)
                 parts, gathered = [], 0
         if gathered:
-            yield counted(parts)
+            yield _counted(parts)
 
     found = _texts(docs).mapInArrow(run, "p long, w long, f long")
     return found.groupBy("p", "w").agg(F.sum("f").alias("f"))
