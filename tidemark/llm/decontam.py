@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, checked by longest common subsequence and answers.
 
 Terms are those of the benchmark; their document frequencies are counted over all documents. A randomised SVD of TF-IDF
-passages gives the latent space: subspace iteration, each step a distributed product A'(A Q), on a bounded sample of
-documents and the benchmark's own items at equal weight (so that its directions are in the space). Then every passage of
+passages gives the latent space: subspace iteration, each step a distributed product A'(A Q), on all documents
+and the benchmark's own items at equal weight (so that its directions are in the space). Then every passage of
 every document is projected and compared with all items in blocks. Candidates over a cosine are checked in the
 document: by the share of the item's words that follow one another there as in the item, and for looser matches also
 by the item's answer.
@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import chunks_of, hash_tokens, row_key
+from tidemark.llm._common import chunks_of, hash_tokens, materialise, row_key
 
 #: Words of a block; a passage is two blocks in a row, so passages of 32 words start every 16.
 BLOCK = 16
 RANK, OVERSAMPLE, ITERATIONS, SEED = 64, 16, 2, 7
 #: Terms in more than this share of the documents don't tell passages apart; a passage with fewer than LEAST others can't be found.
 COMMON, LEAST = 0.05, 3
-#: The SVD is fitted on at most about so many documents (by a hash of their key); all documents are searched.
-FIT_DOCS = 4000
 COSINE, SURE, LOOSE, ANSWER = 0.55, 0.8, 0.55, 0.75
 TERM_ROWS = 256
 #: An item of more words is found by passages of two blocks, as documents are; all are checked whole.
@@ -125,18 +123,38 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     return df, n
 
 
-def _passages(index: Index, texts: list[bytes]):
-    """TF-IDF entries (passage, term, weight) of texts cut into single blocks, each passage of length 1."""
+def _telling(index: Index, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(block, term) of the telling words of texts cut into single blocks."""
     words, counts = _words(texts)
     block, *_ = _blocks(index, words, counts)
     at = index.position(words)
     telling = np.append(index.idf, 0)[at] > 0
-    block, at = block[telling], at[telling]
+    return block[telling], at[telling]
+
+
+def _weighted(index: Index, block: np.ndarray, at: np.ndarray):
+    """TF-IDF entries (passage, term, weight), each passage of length 1."""
     w = index.idf[at]
     norm = np.sqrt(np.bincount(block, w * w)) if len(block) else np.zeros(0)
     return block, at, (w / np.maximum(norm[block], 1e-9)).astype(np.float32)
 
 
+def passages(docs: DataFrame, index: Index) -> DataFrame:
+    """block, term: the telling words of all documents, as arrays of 32 bits for each chunk of texts, written once for all steps of the iteration."""
+    rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # of the benchmark's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for first, last in chunks_of(texts):
+                both = [[x.astype(np.int32).tobytes()] for x in _telling(index, texts[first:last])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in both], names=["block", "term"])
+
+    return materialise(rows.mapInArrow(run, "block binary, term binary"), "passages")
+
+
 def _product(entries, q: np.ndarray) -> np.ndarray:
     """A'(A q) for the passages' entries."""
     block, at, w = entries
@@ -145,14 +163,14 @@ def _product(entries, q: np.ndarray) -> np.ndarray:
     return _summed(y[block[order]] * w[order, None], at[order], len(q))
 
 
-def axes(docs: DataFrame, index: Index, items: list[bytes], share: float, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors, each divided by its singular value (terms x rank), of the TF-IDF passages of a sample of documents, with the items."""
+def axes(docs: DataFrame, index: Index, items: list[bytes], rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors, each divided by its singular value (terms x rank), of the TF-IDF passages of all documents, with the items."""
     n = len(index.terms)
     r = min(n, rank + OVERSAMPLE)
     if not n:
         return np.zeros((0, 0), np.float32)
-    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < int(share * (1 << 62))).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    own = _passages(index, items)
+    rows = passages(docs, index)
+    own = _weighted(index, *_telling(index, items))
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, r)))[0].astype(np.float32)
     spark = docs.sparkSession
 
@@ -163,9 +181,8 @@ def axes(docs: DataFrame, index: Index, items: list[bytes], share: float, rank:
             index, q = shared.value
             y, energy = np.zeros_like(q), 0.0
             for b in batches:
-                texts = b.column(0).to_pylist()
-                for first, last in chunks_of(texts):
-                    entries = _passages(index, texts[first:last])
+                for block, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    entries = _weighted(index, np.frombuffer(block, np.int32), np.frombuffer(at, np.int32))
                     y += _product(entries, q)
                     energy += float((entries[2] ** 2).sum())
             if energy:
@@ -193,7 +210,7 @@ def axes(docs: DataFrame, index: Index, items: list[bytes], share: float, rank:
     return np.ascontiguousarray(((q @ turn[:, ::-1]) / scale)[:, :rank]).astype(np.float32)
 
 
-def build(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, rank: int = RANK, fit_docs: int = FIT_DOCS) -> Index:
+def build(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, rank: int = RANK) -> Index:
     """The index of benchmark(item_id, text and, if named, an answer column). Items without words can't be found and are left out."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer")).distinct().orderBy("item_id", "text").collect()
     texts = [r.text.encode() for r in rows]
@@ -209,7 +226,7 @@ def build(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, rank
             telling[at] = True
     idf[~telling] = 0
     index = Index(terms, idf, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, np.int64), [], [], [])
-    index.axes = axes(docs, index, texts, min(1.0, fit_docs / max(n, 1)), rank) * idf[:, None]
+    index.axes = axes(docs, index, texts, rank) * idf[:, None]
     passages, owner = [], []
     for r, w in zip(rows, words, strict=True):
         if not len(w):
