@@ -203,3 +203,14 @@ def test_pair_moments_meet_within_sets_alone(spark, own, table):
     assert ("b", "c") not in {(a, b) for s, a, b in got if s != sets["r"]}
     top = risk.tail_pairs(own.returns, least=100)
     assert top.count() == 2 and panel.held_returns(own.prices, own.holdings).count() > 0
+
+
+def test_quantiles_of_portfolios_make_no_row_for_a_portfolio_and_day(spark):
+    rng = np.random.default_rng(6)
+    prices = spark.createDataFrame([(a, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(np.exp(rng.normal(0, 0.02)))) for a in "abc" for i in range(200) if (i + ord(a)) % 9], "asset string, d date, px double")
+    rows = [(f"p{i}", a, float(rng.integers(1, 9))) for i in range(25) for a in "abc" if (i >> "abc".index(a)) & 1] + [("short", "a", 0.0)]
+    own = book.Book(prices, spark.createDataFrame(rows, "portfolio_id string, asset string, quantity double"))
+    found = panel.portfolio_quantiles(own.returns, own.weights, 0.01, 2)  # lots of about two
+    got = {r.portfolio_id: (r.n, r.q) for r in found.collect()}
+    want = {r.portfolio_id: (r.n, r["var"]) for r in risk.historical_var(own.series).collect()}
+    assert got.keys() == want.keys() and got["short"] == (0, None) and all(got[k][0] == n and got[k][1] == pytest.approx(v, abs=1e-12) for k, (n, v) in want.items())

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,5 +102,38 @@ def portfolio_returns(returns: DataFrame, w: DataFrame) -> DataFrame:
     return r.withColumn("i", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("d")) - 1)
 
 
+def portfolio_quantiles(returns: DataFrame, w: DataFrame, share: float, most: int = 500) -> DataFrame:
+    """portfolio_id, n, q: the number of a portfolio's returns, as portfolio_returns has them, and their quantile, interpolated linearly.
+
+    returns and weights need a set_id. No row is made for a portfolio and day: a set's returns are one row, days by assets, and its
+    portfolios meet it some `most` at a time, dealt by hash, so that neither a large set is one task nor its returns are sent for each
+    portfolio. In a task the returns of `most` portfolios are held at once. A portfolio without weights has no returns and a null quantile."""
+    day = returns.groupBy("set_id", "d").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("rs"))
+    sets = day.groupBy("set_id").agg(F.count("*").alias("days"), F.flatten(F.collect_list(F.transform("rs", lambda x: x["r"]))).alias("r"))
+    own = w.groupBy("portfolio_id", "set_id").agg(F.array_sort(F.collect_list(F.struct("asset", "w"))).alias("ws"))
+    parts = own.groupBy("set_id").agg(F.ceil(F.count("*") / most).alias("parts"))
+    part = F.pmod(F.xxhash64("portfolio_id"), F.col("parts")).alias("part")
+    dealt = own.join(parts, "set_id").select("set_id", part, "portfolio_id", F.transform("ws", lambda x: x["w"]).alias("w"))
+    lots = dealt.groupBy("set_id", "part").agg(F.collect_list("portfolio_id").alias("ids"), F.flatten(F.collect_list("w")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, weights, days, r = (b.column(c)[k] for c in range(4))
+                x = r.values.to_numpy(zero_copy_only=False).reshape(days.as_py(), -1)
+                table = weights.values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                known = ~np.isnan(table).any(axis=1)  # without a value there are no weights
+                series = np.zeros((int(known.sum()), len(x)))
+                for a in range(x.shape[1]):  # asset by asset, as portfolio_returns adds
+                    series += table[known, a : a + 1] * x[:, a]
+                q = np.full(len(ids), np.nan)
+                q[known] = np.quantile(series, share, axis=1, overwrite_input=True)
+                n = np.where(known, len(x), 0)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(n), pa.array(q, mask=~known)], names=["portfolio_id", "n", "q"])
+
+    both = lots.join(sets, "set_id").select("ids", "w", "days", "r")
+    return both.mapInArrow(run, "portfolio_id string, n long, q double")
+
+
 def gated(n: Column, least: int, value: Column) -> Column:
     return F.when(n >= least, value)

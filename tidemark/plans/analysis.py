@@ -162,7 +162,8 @@ def _simulation(spark: SparkSession, d: str) -> DataFrame:
 def _by_customer(spark: SparkSession, d: str) -> DataFrame:
     """Every customer's orders by priority as a portfolio: many portfolios of few sets of assets."""
     held = S.table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("portfolio_id"), F.col("o_orderpriority").alias("asset")).agg(F.count("*").cast("double").alias("quantity"))
-    return R.historical_var(Y.Book(S.gap_prices(spark, d), held).series)
+    own = Y.Book(S.gap_prices(spark, d), held)
+    return N.portfolio_quantiles(own.returns, own.weights, 1 - own.confidence).withColumnRenamed("q", "var")
 
 
 def queries() -> dict:
